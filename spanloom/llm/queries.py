@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanloom.functions.text import span_name
+from spanloom.llm.near_duplicates import near_duplicates
 from spanloom.llm.patterns import frequent_subsequences
 from spanloom.llm.runs import event_runs
 from spanloom.operators.events import current_spans
@@ -49,6 +49,16 @@ def p3_similar_runs(spark: SparkSession, d: str) -> DataFrame:
     return event_runs(table(spark, d, "spans"), max_dissimilarity=0.35)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spans whose texts share at least 0.6 of their three-word shingles."""
+    return near_duplicates(table(spark, d, "spans")).span_pairs()
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups that the pairs form, and each span's number of partners."""
+    return near_duplicates(table(spark, d, "spans")).groups()
+
+
 _CURRENT = """current_spans AS (
   SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY ingested_at DESC, pos DESC) = 1
 )"""
@@ -67,7 +77,7 @@ _RUNS = f"""WITH {_CURRENT}, named AS (
   FROM numbered WHERE nm IS NOT NULL GROUP BY trace_id, run
 )"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p3_found, p3_runs, p3_similar_runs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p3_found, p3_runs, p3_similar_runs, p4_found, p4_groups)}
 
 SQL = {
     "p3_found": f"{_RUNS} SELECT trace_id, first_span_id, last_span_id FROM runs WHERE n_events >= 3",

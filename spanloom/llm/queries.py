@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.functions.text import span_name
+from spanloom.llm.leakage import leaked_items
 from spanloom.llm.near_duplicates import near_duplicates
 from spanloom.llm.patterns import frequent_subsequences
 from spanloom.llm.runs import event_runs
+from spanloom.llm.tokenizer import encode_corpus
 from spanloom.operators.events import current_spans
 from spanloom.sources.tables import table
 
@@ -59,6 +61,28 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(table(spark, d, "spans")).groups()
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by the byte_bpe_50k vocabulary."""
+    import public_tokenizers
+
+    return encode_corpus(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def p6_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Number of tokens of every document."""
+    return p6_ids(spark, d).selectExpr("doc_id", "size(ids) AS n_tokens")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items of which they hold twelve consecutive words."""
+    return p7_aligned(spark, d).where("longest_run >= 12").select("doc_id", "item_id").distinct()
+
+
+def p7_aligned(spark: SparkSession, d: str) -> DataFrame:
+    """All documents that share a rare passage with an item, and how well they align."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 _CURRENT = """current_spans AS (
   SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY ingested_at DESC, pos DESC) = 1
 )"""
@@ -77,9 +101,18 @@ _RUNS = f"""WITH {_CURRENT}, named AS (
   FROM numbered WHERE nm IS NOT NULL GROUP BY trace_id, run
 )"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p3_found, p3_runs, p3_similar_runs, p4_found, p4_groups)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p3_found, p3_runs, p3_similar_runs, p4_found, p4_groups, p6_ids, p6_lengths, p7_found, p7_aligned)}
 
 SQL = {
     "p3_found": f"{_RUNS} SELECT trace_id, first_span_id, last_span_id FROM runs WHERE n_events >= 3",
     "p3_runs": f"{_RUNS} SELECT * FROM runs",
+    "p7_found": r"""WITH dw AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_items
+), dg AS (
+  SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM dw, unnest(range(1, len(w) - 10)) AS t(i)
+), ig AS (
+  SELECT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM iw, unnest(range(1, len(w) - 10)) AS t(i)
+) SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
 }

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.functions.text import span_name
 from spanloom.llm.leakage import leaked_items
 from spanloom.llm.near_duplicates import near_duplicates
 from spanloom.llm.patterns import frequent_subsequences
+from spanloom.llm.quality import broken_bounds, document_kinds, text_statistics
 from spanloom.llm.runs import event_runs
 from spanloom.llm.tokenizer import encode_corpus
 from spanloom.operators.events import current_spans
@@ -83,6 +85,25 @@ def p7_aligned(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The bounds of natural prose that each document breaks."""
+    return broken_bounds(_statistics(spark, d))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The counts behind every document's statistics; 0 where there is no text."""
+    return _statistics(spark, d).withColumn("has_text", F.col("n_chars").isNotNull()).fillna(0)
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Prose, list, table or junk, by the mixture fitted to all documents."""
+    return document_kinds(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 _CURRENT = """current_spans AS (
   SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY trace_id, span_id ORDER BY ingested_at DESC, pos DESC) = 1
 )"""
@@ -101,9 +122,38 @@ _RUNS = f"""WITH {_CURRENT}, named AS (
   FROM numbered WHERE nm IS NOT NULL GROUP BY trace_id, run
 )"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p3_found, p3_runs, p3_similar_runs, p4_found, p4_groups, p6_ids, p6_lengths, p7_found, p7_aligned)}
+_STATISTICS = r"""WITH listed AS (
+  SELECT list(DISTINCT lower(word)) AS ws FROM common_words WHERE word IS NOT NULL
+), split AS (
+  SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w,
+         list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13))), lambda l: l <> '') AS lines
+  FROM documents
+), stats AS (
+  SELECT doc_id, text, length(text) AS n_chars, len(w) AS n_words,
+         length(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[\p{L}\p{N} \t\n\r]+', '', 'g')) AS n_symbols,
+         len(lines) AS n_lines,
+         len(list_filter(lines, lambda l: right(l, 1) IN ('.', '!', '?', '…', '。'))) AS n_ended,
+         len(list_filter(w, lambda x: list_contains(ws, x))) AS n_common,
+         length(regexp_replace(text, '[^\p{N}]+', '', 'g')) AS n_digits,
+         length(regexp_replace(text, '[^\[\](){}<>=_"''\\]+', '', 'g')) AS n_code
+  FROM split, listed
+)"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p3_found, p3_runs, p3_similar_runs, p4_found, p4_groups, p6_ids, p6_lengths, p7_found, p7_aligned, p8_found, p8_statistics, p8_kinds)}
 
 SQL = {
+    "p8_statistics": f"""{_STATISTICS}
+SELECT doc_id, text IS NOT NULL AS has_text, coalesce(n_chars, 0) AS n_chars, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+       coalesce(n_symbols, 0) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_ended, 0) AS n_ended, coalesce(n_common, 0) AS n_common,
+       coalesce(n_digits, 0) AS n_digits, coalesce(n_code, 0) AS n_code
+FROM stats""",
+    "p8_found": f"""{_STATISTICS}
+SELECT doc_id, 'few_words' AS fault FROM stats WHERE n_words < 25
+UNION ALL SELECT doc_id, 'word_length' FROM stats WHERE n_words > 0 AND (2 * word_chars < 5 * n_words OR 2 * word_chars > 15 * n_words)
+UNION ALL SELECT doc_id, 'symbols' FROM stats WHERE n_words > 0 AND 100 * n_symbols > 8 * n_chars
+UNION ALL SELECT doc_id, 'line_ends' FROM stats WHERE n_words > 0 AND 10 * n_ended < 4 * n_lines
+UNION ALL SELECT doc_id, 'common_words' FROM stats WHERE n_words > 0 AND 100 * n_common < 15 * n_words""",
     "p3_found": f"{_RUNS} SELECT trace_id, first_span_id, last_span_id FROM runs WHERE n_events >= 3",
     "p3_runs": f"{_RUNS} SELECT * FROM runs",
     "p7_found": r"""WITH dw AS (

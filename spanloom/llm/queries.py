@@ -45,7 +45,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:
     """Every run, with its number of events and its time."""
-    return event_runs(table(spark, d, "spans"))
+    runs = event_runs(table(spark, d, "spans"))
+    micros = {"first_us": F.unix_micros("first_start"), "last_us": F.unix_micros("last_start")}
+    return runs.withColumns(micros).drop("first_start", "last_start")
 
 
 def p3_similar_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -117,11 +119,32 @@ _RUNS = f"""WITH {_CURRENT}, named AS (
   SELECT *, sum(fresh) OVER (PARTITION BY trace_id ORDER BY start_time, pos, span_id ROWS UNBOUNDED PRECEDING) AS run FROM marked
 ), runs AS (
   SELECT trace_id, arg_min(span_id, (start_time, pos, span_id)) AS first_span_id, arg_max(span_id, (start_time, pos, span_id)) AS last_span_id,
-         any_value(nm) AS node, count(*) AS n_events, min(start_time) AS first_start, max(start_time) AS last_start,
+         any_value(nm) AS node, count(*) AS n_events, epoch_us(min(start_time)) AS first_us, epoch_us(max(start_time)) AS last_us,
          (epoch_us(max(start_time)) - epoch_us(min(start_time))) / 1e6 AS seconds
   FROM numbered WHERE nm IS NOT NULL GROUP BY trace_id, run
 )"""
 
+def _patterns_sql() -> str:
+    """Leftmost ends of each frequent pattern in each trace, one item longer each time."""
+    steps = [
+        f"""WITH {_CURRENT}, ev AS (
+  SELECT trace_id, nullif(lower(regexp_replace(agent_or_node_id, '[^\\p{{L}}]', '', 'g')), '') AS nm,
+         row_number() OVER (PARTITION BY trace_id ORDER BY start_time, pos, span_id) AS seq
+  FROM current_spans WHERE start_time IS NOT NULL AND parent_span_id <> ''
+), least AS (SELECT greatest(6, ceil(6 * count(DISTINCT trace_id) / 100)) AS n FROM spans),
+l1 AS (SELECT trace_id, nm AS p, min(seq) AS at FROM ev WHERE nm IS NOT NULL GROUP BY ALL)"""
+    ]
+    for k in range(1, 6):
+        steps.append(f"f{k} AS (SELECT p, count(*) AS support FROM l{k} GROUP BY p HAVING count(*) >= (SELECT n FROM least))")
+        if k < 5:
+            steps.append(
+                f"l{k + 1} AS (SELECT l.trace_id, l.p || '>' || ev.nm AS p, min(ev.seq) AS at FROM l{k} l JOIN f{k} USING (p) JOIN ev ON ev.trace_id = l.trace_id AND ev.seq > l.at"
+                " WHERE ev.nm IN (SELECT p FROM f1) GROUP BY ALL)"
+            )
+    every = " UNION ALL ".join(f"SELECT p AS steps, {k} AS length, support FROM f{k}" for k in (3, 4, 5))
+    return ", ".join(steps) + f", found AS ({every})"
+
+
 _STATISTICS = r"""WITH listed AS (
   SELECT list(DISTINCT lower(word)) AS ws FROM common_words WHERE word IS NOT NULL
 ), split AS (
@@ -143,6 +166,15 @@ _STATISTICS = r"""WITH listed AS (
 QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p3_found, p3_runs, p3_similar_runs, p4_found, p4_groups, p6_ids, p6_lengths, p7_found, p7_aligned, p8_found, p8_statistics, p8_kinds)}
 
 SQL = {
+    "p1_found": f"{_patterns_sql()} SELECT steps FROM found",
+    "p1_supports": f"{_patterns_sql()} SELECT * FROM found",
+    "p4_found": f"""WITH {_CURRENT}, w AS (
+  SELECT span_id, regexp_extract_all(lower(coalesce(input_text, '') || chr(10) || coalesce(output_text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM current_spans
+), sh AS (
+  SELECT DISTINCT span_id, hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS h FROM (SELECT * FROM w WHERE len(w) >= 30), unnest(range(1, len(w) - 1)) AS t(i)
+), sizes AS (SELECT span_id, count(*) AS n FROM sh GROUP BY span_id),
+met AS (SELECT a.span_id AS x, b.span_id AS y, count(*) AS n FROM sh a JOIN sh b ON a.h = b.h AND a.span_id < b.span_id GROUP BY ALL)
+SELECT x AS span_id_a, y AS span_id_b FROM met JOIN sizes p ON p.span_id = x JOIN sizes q ON q.span_id = y WHERE 10 * met.n >= 6 * (p.n + q.n - met.n)""",
     "p8_statistics": f"""{_STATISTICS}
 SELECT doc_id, text IS NOT NULL AS has_text, coalesce(n_chars, 0) AS n_chars, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
        coalesce(n_symbols, 0) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_ended, 0) AS n_ended, coalesce(n_common, 0) AS n_common,

@@ -28,10 +28,11 @@ def fold(text: Column) -> Column:
     """Case folding: letters that differ by case only become equal, ``ß`` equals ``ss``.
 
     Upper and lower case together fold all letters but the dotless i, which upper case would merge
-    with i, and the final sigma, which lower case would set by context.
+    with i, and the sigma, which lower case would set by context. (Lower case applied to upper case
+    directly would be simplified to lower case alone.)
     """
-    kept = F.translate(text, "ı", "\ue000")
-    return F.translate(F.lower(F.upper(kept)), "ς\ue000", "σı")
+    upper = F.upper(F.translate(text, "ı", "\ue000"))
+    return F.translate(F.lower(F.translate(upper, "Σ", "σ")), "\ue000", "ı")
 
 
 def normal_input(text: Column) -> Column:

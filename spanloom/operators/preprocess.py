@@ -40,12 +40,12 @@ def collapse_llm(spans: DataFrame) -> DataFrame:
     children two steps below the last kept span point to a span that is gone.
     """
     llm = spans.where("span_kind = 'llm'")
-    extra = llm.where("parent_span_id IS NOT NULL AND token_count IS NOT NULL").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.sum("token_count").alias("extra"))
-    gone = llm.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("parent_span_id").alias("grand"), F.lit(True).alias("gone"))
+    extra = llm.where("parent_span_id IS NOT NULL AND token_count IS NOT NULL").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.sum("token_count").alias("__extra"))
+    gone = llm.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("parent_span_id").alias("__grand"), F.lit(True).alias("__gone"))
     kept = spans.where("span_kind IS NULL OR span_kind <> 'llm'").join(extra, ["trace_id", "span_id"], "left").join(gone, ["trace_id", "parent_span_id"], "left")
     new = {
-        "token_count": F.when(F.col("extra").isNotNull(), F.coalesce("token_count", F.lit(0)) + F.col("extra")).otherwise(F.col("token_count")),
-        "parent_span_id": F.when(F.col("gone"), F.col("grand")).otherwise(F.col("parent_span_id")),
+        "token_count": F.when(F.col("__extra").isNotNull(), F.coalesce("token_count", F.lit(0)) + F.col("__extra")).otherwise(F.col("token_count")),
+        "parent_span_id": F.when(F.col("__gone"), F.col("__grand")).otherwise(F.col("parent_span_id")),
     }
     return kept.withColumns(new).select(*spans.columns)
 

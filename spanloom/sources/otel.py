@@ -27,12 +27,11 @@ _OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
 
 def text_format(text: F.Column) -> F.Column:
     """``sdk``, ``trace``, ``otlp``, or why a text is none of them."""
-    body = F.ltrim(text)
     keys = F.json_object_keys(text)
     length = F.json_array_length(text)
     return (
-        F.when(text.isNull() | (F.length(F.trim(text)) == 0), F.lit("empty"))
-        .when(body.startswith("[") & length.isNull(), F.lit("not JSON"))
+        F.when(text.isNull() | ~text.rlike(r"\S"), F.lit("empty"))
+        .when(text.rlike(r"^\s*\[") & length.isNull(), F.lit("not JSON"))
         .when((length > 0) & F.get_json_object(text, "$[0].context").isNotNull(), F.lit("sdk"))
         .when(length.isNotNull(), F.lit("array of something else"))
         .when(keys.isNull(), F.when(F.try_parse_json(text).isNull(), F.lit("not JSON")).otherwise(F.lit("not an object or array")))

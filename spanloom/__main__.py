@@ -12,6 +12,7 @@ from spanloom.schema import MODEL, REVISION
 from spanloom.session import session, ship
 from spanloom.sinks import json_reports, markdown_reports
 from spanloom.sources.files import load
+from spanloom.storage import store
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -29,7 +30,9 @@ def main(argv: list[str] | None = None) -> int:
     ship(spark)
     try:
         spans, refused = load(spark, args.path, otlp=args.otlp)
+        spans = store(spans, "loaded").df  # files are parsed once
         good, bad = validated(spans)
+        good = store(good, "valid").df
         for r in refused.toLocalIterator():
             print(f"Error: {r.file}: {r.reason}", file=sys.stderr)
         for r in bad.toLocalIterator():

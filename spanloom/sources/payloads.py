@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-_HEX = re.compile(r"[0-9a-f]{1,16}")
+_HEX = re.compile(r"[0-9a-f]+")
 
 
 def hex_id(raw: Any, digits: int = 16) -> str | None:
@@ -17,9 +17,9 @@ def hex_id(raw: Any, digits: int = 16) -> str | None:
         return None
     text = raw.strip()
     low = text.lower()
-    if low.startswith("0x"):
-        return low[2:].zfill(digits) if re.fullmatch(r"[0-9a-f]+", low[2:]) and len(low) <= digits + 2 else None
-    if len(low) == digits and re.fullmatch(r"[0-9a-f]+", low):
+    if low.startswith("0x") and len(low) <= digits + 2 and _HEX.fullmatch(low[2:]):
+        return low[2:].zfill(digits)  # base64 may start with 0x too, and is read as such below
+    if len(low) == digits and _HEX.fullmatch(low):
         return low
     try:
         data = base64.b64decode(text.replace("-", "+").replace("_", "/") + "=" * (-len(text) % 4), validate=True)

@@ -3,6 +3,7 @@ import json
 
 from spanloom.functions.strict_json import _loads_deep, loads
 from spanloom.operators.nested import bridge, explode_records, objects, occurrences
+from spanloom.sources.payloads import hex_id
 
 SCHEMA = "dump_id long, file_name string, payload string, content string, ordinal int"
 
@@ -95,6 +96,12 @@ def test_dirt_gives_no_rows_and_no_failure(spark):
     assert found(spark, []).count() == 0
 
 
+def test_ids():
+    assert [hex_id(x) for x in ("0x00AB", "00AB12CD34EF5678", "0XxIBW/ChY8=", "YTkU69/OeVs", "YTkU69_OeVs=", "zz", "", None, 7)] == [
+        "00000000000000ab", "00ab12cd34ef5678", "d17c48056fc2858f", "613914ebdfce795b", "613914ebdfce795b", None, None, None, None,
+    ]
+
+
 def test_strict_parser_agrees_with_the_built_in_one():
     for s in ('[1,2.5e3,-0,"a\\u00e9",null,true,{}, [] ,{"a":{}}]', " 3 ", '{"a":[{"b":[]}]}'):
         assert _loads_deep(s) == loads(s) == json.loads(s)

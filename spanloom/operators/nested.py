@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.arrow import arrow_schema, batch_of, rows_of
 from spanloom.functions.strict_json import loads
 from spanloom.functions.text import decode
+from spanloom.operators.parallel import spread
 from spanloom.sources.payloads import attributes, hex_id, spans_of
 
 SLOTS = {"input": "input.value", "output": "output.value"}
@@ -159,6 +160,7 @@ def explode_records(*dumps: DataFrame, with_content: bool = True) -> DataFrame:
     both = None
     for d in dumps:
         narrow = d.select(F.col("dump_id").cast("long").alias("dump_id"), F.col("payload").cast("binary").alias("payload"))
+        narrow = spread(narrow)
         both = narrow if both is None else both.unionByName(narrow)
     return both.mapInArrow(_parse(with_content), _OCCURRENCE)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.arrow import arrow_schema, batch_of
 from spanloom.functions.hashing import WordHasher, shingles
 from spanloom.functions.text import decode
+from spanloom.operators.parallel import spread
 
 _FOUND = "doc_id long, item_id long, score long, share double, longest_run int, at_word long"
 _CHUNK_CHARS = 500_000
@@ -180,7 +181,7 @@ def leaked_items(
     rows of either table repeat findings. ``block_chars``: how much item text a pass may carry.
     Other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    docs = spread(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")))
     found: DataFrame | None = None
 
     def search(ids: list[int], texts: list[str]) -> DataFrame:

@@ -31,6 +31,7 @@ from spanloom.functions.hashing import WordHasher, distinct_by_text, set_hashes,
 from spanloom.functions.text import decode
 from spanloom.llm.superminhash import band_keys, signatures
 from spanloom.operators.components import components
+from spanloom.operators.parallel import spread
 from spanloom.storage import store
 
 _CHUNK_BYTES = 400_000
@@ -178,7 +179,7 @@ def near_duplicates(spans: DataFrame, o: Options = Options()) -> NearDuplicates:
     at = F.coalesce(F.unix_micros("ingested_at"), F.lit(-(2**62)))
     key = [F.coalesce("trace_id", F.lit("\0")).alias("trace_id"), F.coalesce("span_id", F.lit("\0")).alias("span_id"), at.alias("at")]
 
-    bands = spans.select(text.alias("text")).mapInArrow(_emit_bands(o), "key long, fp long, n int")
+    bands = spread(spans.select(text.alias("text"))).mapInArrow(_emit_bands(o), "key long, fp long, n int")
     met = bands.withColumn("met", F.count("*").over(Window.partitionBy("key"))).where("met > 1 OR n > 1")
     hits = store(met.select("key", "fp", "n"), "band-hits")
     candidates = store(_candidates(hits.df, o.block), "candidates")
@@ -187,7 +188,7 @@ def near_duplicates(spans: DataFrame, o: Options = Options()) -> NearDuplicates:
     bloom = build_bloom(wanted, 2 * candidates.df.count() + copied.count())
     hits.drop()
 
-    found = store(spans.select(*key, text.alias("text")).mapInArrow(_emit_members(o, bloom), _MEMBER), "members").df
+    found = store(spread(spans.select(*key, text.alias("text"))).mapInArrow(_emit_members(o, bloom), _MEMBER), "members").df
     sets = found.where("elements IS NOT NULL").select("fp", "elements").dropDuplicates(["fp"])
     share = Fraction(o.similarity)
     one, two = sets.select(F.col("fp").alias("a"), F.col("elements").alias("x")), sets.select(F.col("fp").alias("b"), F.col("elements").alias("y"))

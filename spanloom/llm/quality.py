@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.parallel import spread
 from spanloom.storage import Stored, store
 
 WORD = r"[\p{L}\p{N}]+"
@@ -61,7 +62,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """
     t = F.col("text")
     found = F.regexp_extract_all(F.lower(t), F.lit(f"({WORD})"), 1)
-    docs = documents.select("doc_id", "text")
+    docs = spread(documents.select("doc_id", "text"))
     listed = common_words.select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct()
     short = [r.word for r in listed.limit(MOST_LITERALS + 1).collect()]
     if len(short) <= MOST_LITERALS:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.hashing import mix
 from spanloom.functions.text import decode
+from spanloom.operators.parallel import spread
 
 _REMEMBERED = 300_000
 _REMEMBERED_LENGTH = 64
@@ -121,11 +122,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def _encode_texts(spread, pattern: str):
+def _encode_texts(shared, pattern: str):
     split = regex.compile(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder: Encoder = spread.value
+        encoder: Encoder = shared.value
         known: dict[str, list[int]] = {}
 
         def encoded(ids: list, texts: list[list[str]]) -> pa.RecordBatch:
@@ -163,6 +164,6 @@ def encode_corpus(documents: DataFrame, vocabulary: str, pattern: str) -> DataFr
     tokens are never produced: their spellings are ordinary text. Bytes that aren't UTF-8 count as
     U+FFFD. Other columns are ignored.
     """
-    spread = documents.sparkSession.sparkContext.broadcast(Encoder(load_ranks(vocabulary)))
-    narrow = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return narrow.mapInArrow(_encode_texts(spread, pattern), "doc_id long, ids array<int>")
+    shared = documents.sparkSession.sparkContext.broadcast(Encoder(load_ranks(vocabulary)))
+    narrow = spread(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")))
+    return narrow.mapInArrow(_encode_texts(shared, pattern), "doc_id long, ids array<int>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.storage import store
+
 #: Order of a trace's events; the id makes ties between equal rows definite.
 EVENT_ORDER = ("start_time", "pos", "span_id")
 
@@ -47,9 +49,11 @@ def in_pieces(events: DataFrame) -> DataFrame:
     """Adds ``piece``: events with the same trace and piece are consecutive and fit one task.
 
     Windows over (``trace_id``, ``piece``) are bounded, where those over ``trace_id`` alone would put
-    a trace with a third of all rows into one task.
+    a trace with a third of all rows into one task. The result is written, because the borders
+    between range partitions are found by sampling: computed twice, they could differ. So keep the
+    columns few.
     """
-    return in_event_order(events).withColumn("piece", F.spark_partition_id())
+    return store(in_event_order(events).withColumn("piece", F.spark_partition_id()), "pieces").df
 
 
 def _piece_ranks(pieces: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.arrow import arrow_schema, batch_of, rows_of
+from spanloom.operators.events import numbered
 from spanloom.storage import store
 
 _NODE = (
@@ -348,3 +349,31 @@ def linked_cases(resolved: DataFrame, deep: int = 8) -> DataFrame:
     return resolved.where((F.col("link_state") != "root") & ((F.col("link_state") != "under_root") | (F.col("n_links") >= deep))).select(
         "trace_id", "span_id", "top_span_id", "n_links", state.alias("link_state")
     )
+
+
+def tree_edges(spans: DataFrame) -> DataFrame:
+    """(``trace_id``, ``parent_span_id``, ``span_id``, ``sibling_rank``): children in order of time.
+
+    Roots are ranked among themselves. Spans without a start come nowhere in that order and are left
+    out. A parent with any number of children is numbered in pieces, like a trace.
+    """
+    family = F.concat_ws("\0", "trace_id", F.coalesce("parent_span_id", F.lit("")))
+    rows = spans.select(family.alias("trace_id"), "span_id", "start_time", "pos", F.col("trace_id").alias("__trace"), "parent_span_id")
+    return numbered(rows).select(F.col("__trace").alias("trace_id"), "parent_span_id", "span_id", F.col("seq").alias("sibling_rank"))
+
+
+def topology(spans: DataFrame) -> DataFrame:
+    """(``trace_id``, ``seq``, ``node``, ``kind``, ``parent_node``): a trace's shape, step by step.
+
+    Two traces have the same shape if these rows are the same. Without a parent in the trace
+    ``parent_node`` is ``<root>``.
+    """
+    parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("agent_or_node_id").alias("parent_node"))
+    placed = numbered(spans.select("trace_id", "span_id", "parent_span_id", "agent_or_node_id", "span_kind", "start_time", "pos"))
+    return placed.join(parents, ["trace_id", "parent_span_id"], "left").select(
+        "trace_id",
+        "seq",
+        F.col("agent_or_node_id").alias("node"),
+        F.col("span_kind").alias("kind"),
+        F.coalesce("parent_node", F.lit("<root>")).alias("parent_node"),
+    )

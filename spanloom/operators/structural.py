@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import normal_input
 from spanloom.operators.events import EVENT_ORDER, with_followers
+from spanloom.storage import store
 
 _CARRIED = ("span_id", "agent_or_node_id", "span_kind", "input_text", "output_text", "token_count", "cost_rate", "start_time", "pos")
 
@@ -57,15 +58,26 @@ def repeat_pairs(spans: DataFrame, n: int = 2) -> DataFrame:
 
 
 def pingpong_pairs(spans: DataFrame) -> DataFrame:
-    """Of every four consecutive spans of nodes A, B, A, B: both later spans with their earlier ones."""
-    seen = with_followers(usable(spans), 3, *_CARRIED)
-    me = F.col("agent_or_node_id")
-    found = seen.where((me == F.col("next2.agent_or_node_id")) & (F.col("next1.agent_or_node_id") == F.col("next3.agent_or_node_id")) & (me != F.col("next1.agent_or_node_id")))
-    both = F.array(F.struct(F.struct(*_CARRIED).alias("o"), F.col("next2").alias("c")), F.struct(F.col("next1").alias("o"), F.col("next3").alias("c")))
+    """Of every four consecutive spans of nodes A, B, A, B: both later spans with their earlier ones.
+
+    Alternations are found on ids and nodes alone; texts are fetched for the spans of pairs only.
+    """
+    rows = usable(spans)
+    seen = with_followers(rows.select("trace_id", "agent_or_node_id", *EVENT_ORDER), 3, "agent_or_node_id", "span_id")
+    node = lambda i: F.col(f"next{i}.agent_or_node_id") if i else F.col("agent_or_node_id")
+    span = lambda i: F.col(f"next{i}.span_id") if i else F.col("span_id")
+    found = seen.where((node(0) == node(2)) & (node(1) == node(3)) & (node(0) != node(1)))
+    both = F.array(*(F.struct(span(i).alias("a"), span(i + 2).alias("b")) for i in (0, 1)))
     at = _point(F.col("start_time"), F.col("pos"), F.col("span_id"), F.lit(0))
-    rows = found.select("trace_id", at.alias("at"), F.posexplode(both).alias("part", "p"))
-    rows = rows.select("trace_id", "at", "part", "p.o", "p.c")
-    return _pairs(rows, F.lit("pingpong"), 1, (F.col("at"), _point(F.lit(None).cast("timestamp"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("part"))))
+    pairs = store(found.select("trace_id", at.alias("at"), F.posexplode(both).alias("part", "p")).select("trace_id", "at", "part", "p.*"), "alternations").df
+
+    wanted = pairs.select("trace_id", F.col("a").alias("span_id")).union(pairs.select("trace_id", "b")).distinct()
+    picked = rows.join(wanted, ["trace_id", "span_id"], "left_semi").select("trace_id", F.col("span_id").alias("id"), F.struct(*_CARRIED).alias("s"))
+    full = pairs
+    for key, name in (("a", "o"), ("b", "c")):
+        full = full.join(picked.withColumnsRenamed({"id": key, "s": name}), ["trace_id", key])
+    none = _point(F.lit(None).cast("timestamp"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("part"))
+    return _pairs(full, F.lit("pingpong"), 1, (F.col("at"), none))
 
 
 def candidate_pairs(spans: DataFrame, n: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalars import longest_leaf, normal_input
+from spanloom.functions.scalars import after_prefix, holds_any, longest_leaf, normal_input, snippet
 from spanloom.functions.vectors import hash_vector
 from spanloom.operators import detect as det
 from spanloom.operators import metrics as m
@@ -19,8 +19,11 @@ from spanloom.operators import preprocess as pre
 from spanloom.operators import structural as st
 from spanloom.operators import validate as val
 from spanloom.operators.events import current_spans, numbered
+from spanloom.operators.hierarchy import topology, tree_edges
+from spanloom.sinks import json_reports, markdown_reports, trace_texts
 from spanloom.sources.otel import otel_spans
 from spanloom.sources.tables import table
+from spanloom.streaming.live import node_activity as activity
 
 PHI = 0.8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -446,3 +449,81 @@ def ingested_spans(spark: SparkSession, d: str) -> DataFrame:
         F.col("file").cast("bigint").alias("dump_id"), "trace_id", "span_id", "parent_span_id", "agent_or_node_id", "span_kind",
         F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), F.coalesce("token_count", F.lit(-1)).alias("token_count"),
     ).distinct()
+
+
+@query(f"""WITH {_CS} SELECT trace_id, parent_span_id, span_id,
+  row_number() OVER (PARTITION BY trace_id, coalesce(parent_span_id, '') {_ORD}) AS sibling_rank FROM cs WHERE start_time IS NOT NULL""")
+def sibling_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the span trees, children in order of time."""
+    return tree_edges(spans(spark, d, "parent_span_id", "start_time", "pos"))
+
+
+@query(f"""WITH {_CS} SELECT c.trace_id, row_number() OVER (PARTITION BY c.trace_id ORDER BY c.start_time, c.pos, c.span_id) AS seq, c.agent_or_node_id AS node, c.span_kind AS kind,
+  coalesce(p.agent_or_node_id, '<root>') AS parent_node
+FROM cs c LEFT JOIN cs p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE c.start_time IS NOT NULL""")
+def trace_topology(spark: SparkSession, d: str) -> DataFrame:
+    """The shape of each trace, step by step."""
+    return topology(spans(spark, d, "parent_span_id", "agent_or_node_id", "span_kind", "start_time", "pos"))
+
+
+@query(f"""WITH {_CS}, t AS (
+  SELECT agent_or_node_id, span_kind, epoch_us(start_time) // 3600000000 * 3600000000 AS hour_us, coalesce(token_count, 0) AS tokens FROM cs WHERE start_time IS NOT NULL AND agent_or_node_id IS NOT NULL
+) SELECT agent_or_node_id, hour_us, count(*) AS spans, sum(tokens)::BIGINT AS tokens FROM t GROUP BY ALL""")
+def node_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Spans and tokens of each node by hour of start, as the stream counts them."""
+    df = spans(spark, d, "agent_or_node_id", "start_time", "token_count").where("agent_or_node_id IS NOT NULL").fillna({"token_count": 0})
+    return activity(df, "1 hour").select("agent_or_node_id", F.unix_micros("from").alias("hour_us"), "spans", "tokens")
+
+
+@query(f"""WITH {_CS} SELECT trace_id, span_id FROM cs WHERE contains(lower(output_text), 'final answer') OR contains(lower(output_text), 'budget')""")
+def hinted_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans whose output holds one of some phrases."""
+    return spans(spark, d, "output_text").where(holds_any(F.col("output_text"), ["final answer", "budget"])).select("trace_id", "span_id")
+
+
+@query(f"""WITH {_CS} SELECT trace_id, span_id, left(output_text, 80) AS snippet,
+  CASE WHEN strpos(output_text, ': ') = 0 THEN output_text ELSE substr(output_text, strpos(output_text, ': ') + 2) END AS rest FROM cs WHERE output_text IS NOT NULL""")
+def output_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The first characters of each output, and what follows its first label."""
+    df = spans(spark, d, "output_text").where("output_text IS NOT NULL")
+    return df.select("trace_id", "span_id", snippet(F.col("output_text")).alias("snippet"), after_prefix(F.col("output_text")).alias("rest"))
+
+
+@query(f"WITH {_CS}, {_LABELS} SELECT DISTINCT trace_id FROM cs WHERE trace_id NOT IN (SELECT trace_id FROM labels)")
+def unlabelled_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Traces without a label."""
+    return m.unlabelled(spans(spark, d, "pos").select("trace_id").distinct(), labels(spark, d))
+
+
+@query()
+def otlp_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of the raw OTLP dumps as span records."""
+    dumps = table(spark, d, "dump_otlp").select(F.col("dump_id").cast("string").alias("file"), F.col("payload").alias("text"))
+    return otel_spans(dumps, otlp=True)[0]
+
+
+@query()
+def refused_dumps(spark: SparkSession, d: str) -> DataFrame:
+    """Raw dumps that aren't SDK arrays, with the reason."""
+    both = table(spark, d, "dump_sdk_json").unionByName(table(spark, d, "dump_otlp"))
+    return otel_spans(both.select(F.col("dump_id").cast("string").alias("file"), F.col("payload").alias("text")))[1]
+
+
+@query()
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    """A JSON report on each trace."""
+    found = details(spark, d)
+    return json_reports(det.verdicts(spans(spark, d), found), found, phi=PHI, now="2026-01-01T00:00:00Z")
+
+
+@query()
+def report_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """A Markdown report on each trace."""
+    found = details(spark, d)
+    return markdown_reports(det.verdicts(spans(spark, d), found), found, phi=PHI, now="2026-01-01T00:00:00Z")
+
+
+@query()
+def saved_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Each trace as one record to save, with its metadata."""
+    return trace_texts(spans(spark, d), table(spark, d, "traces").select("trace_id", "metadata"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import stable_seed
+from spanloom.sinks import trace_texts
 
 #: (node, kind, second, input, output of the positive, output of its twin, repeated work?)
 PATTERNS: dict[str, list[tuple[str, str, int, str, str, str, bool]]] = {
@@ -106,3 +107,27 @@ def set_digest(texts: DataFrame) -> str:
     """
     one = texts.select("trace_id", F.sha2("text", 256).alias("h"))
     return one.groupBy().agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("trace_id", "h"))), lambda x: F.concat_ws("=", x["trace_id"], x["h"])), "\n"), 256).alias("d")).first().d
+
+
+def write_set(spark: SparkSession, folder: str, seed: int, pairs: int) -> dict:
+    """Writes a set below ``folder`` (``traces``, ``labels``, ``manifest``) and returns its figures.
+
+    Traces are one JSON record a line; labels and manifest are JSON lines. Sets made with the same
+    seed have the same digests.
+    """
+    spans, labels, manifest = build_set(spark, seed, pairs)
+    texts = trace_texts(spans)
+    texts.select("text").write.mode("overwrite").text(f"{folder}/traces")
+    shown = labels.select("trace_id", F.col("label_class").alias("class"), F.col("waste_pattern").alias("pattern"), "waste_span_ids")
+    lines = shown.select("trace_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("text"))
+    lines.select("text").write.mode("overwrite").text(f"{folder}/labels")
+    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+    lengths = spans.groupBy("trace_id").count().groupBy().agg(F.min("count").alias("min"), F.max("count").alias("max"), F.avg("count").alias("mean")).first()
+    return {
+        "seed": seed,
+        "pairs_per_pattern": pairs,
+        "counts": {r.label_class: r["count"] for r in labels.groupBy("label_class").count().collect()},
+        "pattern_distribution": {r.pattern: r["count"] for r in manifest.groupBy("pattern").count().collect()},
+        "length_distribution": lengths.asDict(),
+        "digests": {"labels": set_digest(lines), "traces": set_digest(texts)},
+    }

@@ -106,3 +106,19 @@ def read_runs(spark: SparkSession, ledger: str) -> DataFrame:
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], RUN_DDL)
     return spark.read.schema(RUN_DDL).json(ledger)
+
+
+def runs_markdown(runs: DataFrame) -> str:
+    """The ledger as a Markdown table; it has a row for each evaluation ever run."""
+    head = "| run | date | phi | N | model | f1 | fpr | verdict |\n|---|---|---|---|---|---|---|---|\n"
+    rows = runs.orderBy("run").toLocalIterator()
+    return head + "".join(f"| {r.run} | {r.date} | {r.phi} | {r.n} | {r.model} | {r.f1:.4f} | {r.fpr:.4f} | {r.verdict} |\n" for r in rows)
+
+
+def calibration_markdown(result: dict, summary: DataFrame) -> str:
+    """A calibration's figures (see ``plans.flows.calibrate``) and both distributions (see ``metrics.summary``)."""
+    lines = ["# Calibration", ""]
+    lines += [f"- **{k}**: {result[k]}" for k in ("phi", "n", "gap", "cohens_d", "pair_fpr", "trace_fpr", "guards_passed", "failures")]
+    lines += ["", "| pairs | count | p10 | median | p90 | mean |", "|---|---|---|---|---|---|"]
+    lines += [f"| {'duplicate' if r.dup else 'other'} | {r.n} | {r.p10} | {r.median} | {r.p90} | {r.mean} |" for r in summary.orderBy("dup").collect()]
+    return "\n".join(lines) + "\n"

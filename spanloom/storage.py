@@ -49,8 +49,11 @@ class Stored:
 
 
 def store(df: DataFrame, label: str) -> Stored:
-    """Writes ``df`` to the shared folder and reads it back, which ends its lineage."""
+    """Writes ``df`` to the shared folder and reads it back, which ends its lineage.
+
+    The tables of an application lie in one folder named after it, which can go when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/spanloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/spanloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return Stored(spark, path)

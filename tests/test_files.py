@@ -5,7 +5,7 @@ import pytest
 
 from spanloom.__main__ import main
 from spanloom.operators.detect import detect
-from spanloom.plans.generate import build_set, set_digest
+from spanloom.plans.generate import build_set, set_digest, write_set
 from spanloom.sinks import append_run, json_reports, markdown_reports, read_runs, trace_texts
 from spanloom.sources.files import frozen_parameters, load, read_labels, read_manifest, read_texts, trace_records
 from spanloom.sources.otel import otel_spans
@@ -99,6 +99,16 @@ def test_saved_records_round_trip(spark, tmp_path):
     assert set_digest(texts) == set_digest(trace_texts(*[build_set(spark, 42, 2)[0], meta])) != set_digest(trace_texts(build_set(spark, 43, 2)[0], meta))
 
 
+def test_written_sets_can_be_loaded(spark, tmp_path):
+    figures = write_set(spark, str(tmp_path), 5, 2)
+    assert figures == write_set(spark, str(tmp_path), 5, 2)
+    assert figures["counts"] == {"positive": 8, "negative": 8} and figures["length_distribution"] == {"min": 5, "max": 7, "mean": 6.0}
+    assert read_labels(spark, f"{tmp_path}/labels").count() == 16
+    lines = spark.read.text(f"{tmp_path}/traces").selectExpr("value AS file", "value AS text")
+    back, _ = trace_records(lines)
+    assert back.drop("file", "record_trace").exceptAll(build_set(spark, 5, 2)[0]).count() == 0 and back.count() == 96
+
+
 def test_labels_manifest_and_parameters(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"trace_id":"t","class":"positive","pattern":null,"waste_span_ids":["s"]}\n\n')
     assert [tuple(r) for r in read_labels(spark, str(tmp_path / "l.jsonl")).collect()] == [("t", "positive", None, ["s"])]

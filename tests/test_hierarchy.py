@@ -93,3 +93,15 @@ def test_nulls_empty_table_and_repeated_rows(spark):
     got = sorted((r.trace_id or "", r.span_id, r.n_links, r.link_state) for r in resolve_hierarchy(frame(spark, rows)).collect())
     assert got == [("", "aa", 0, "root"), ("t", "", 0, "orphan"), ("t", "bb", 0, "cycle"), ("t", "bb", 1, "under_cycle")]
     assert isinstance(resolve_hierarchy(frame(spark, rows)).schema["n_links"].dataType, T.LongType)
+
+
+def test_edges_and_topology(spark):
+    import datetime as dt
+
+    from spanloom.operators.hierarchy import topology, tree_edges
+
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [("t", "r", None, "run", "chain", t0, 0), ("t", "a", "r", "n", "llm", t0, 2), ("t", "b", "r", "n", "tool", t0, 1), ("t", "c", "gone", None, "llm", t0, 3), ("t", "d", "a", "n", "llm", None, 4)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, agent_or_node_id string, span_kind string, start_time timestamp, pos int")
+    assert sorted(tuple(r) for r in tree_edges(df).collect() if r.parent_span_id == "r") == [("t", "r", "a", 2), ("t", "r", "b", 1)]
+    assert [tuple(r)[1:] for r in topology(df).orderBy("seq").collect()] == [(1, "run", "chain", "<root>"), (2, "n", "tool", "run"), (3, "n", "llm", "run"), (4, None, "llm", "<root>")]

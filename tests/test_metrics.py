@@ -79,12 +79,20 @@ def test_calibration_and_evaluation_of_a_generated_set(spark, tmp_path):
     assert all(s[r.positive_trace_id] == s[r.negative_trace_id] and len(s[r.positive_trace_id]) == r.length for r in manifest.collect())
     result = calibrate(spans, labels)
     assert result["n"] == 2 and result["guards_passed"] and result["trace_fpr"] == 0 and 0.7 < result["phi"] < 1
+    from spanloom.operators.detect import scored_pairs
+    from spanloom.operators.structural import candidate_pairs
+    from spanloom.sinks import calibration_markdown, read_runs, runs_markdown
+
+    split = m.split_pairs(scored_pairs(candidate_pairs(spans)), m.clean_labels(labels))
+    log = calibration_markdown(result, m.summary(split, "cosine", "dup"))
+    assert "- **n**: 2" in log and "| duplicate | 15 |" in log
     params = Frozen(0.99, 2, "hash", "0")
     ledger = str(tmp_path / "runs")
     got = evaluate(spans, labels, params, ledger=ledger)
     # the hand-off pattern can't be found from structure
     assert (got["tp"], got["fp"], got["tn"], got["fn"], got["verdict"], got["run"]) == (9, 0, 12, 3, "GO", 1)
     assert got["f1"] == pytest.approx(18 / 21) and got["patterns"]["regen_handoff"]["tpr"] == 0
+    assert "| 1 | " in runs_markdown(read_runs(spark, ledger)) and "| GO |" in runs_markdown(read_runs(spark, ledger))
     with pytest.raises(ValueError, match="no label"):
         evaluate(spans, labels.where("trace_id <> 't-0001'"), params)
     from spanloom.sinks import append_run

@@ -502,7 +502,13 @@ def otlp_spans(spark: SparkSession, d: str) -> DataFrame:
     return otel_spans(dumps, otlp=True)[0]
 
 
-@query()
+@query(r"""SELECT dump_id::VARCHAR AS file, reason FROM (
+  SELECT dump_id, CASE WHEN payload IS NULL OR NOT regexp_matches(payload, '\S') THEN 'empty' WHEN NOT json_valid(payload) THEN 'not JSON'
+    WHEN json_type(payload) = 'ARRAY' THEN CASE WHEN json_extract(payload, '$[0].context') IS NULL THEN 'array of something else' END
+    WHEN json_type(payload) <> 'OBJECT' THEN 'not an object or array' WHEN json_extract(payload, '$.trace_id') IS NOT NULL THEN 'trace'
+    WHEN json_extract(payload, '$.resource_spans') IS NOT NULL OR json_extract(payload, '$.resourceSpans') IS NOT NULL THEN 'otlp' ELSE 'unknown object' END AS reason
+  FROM (SELECT dump_id, payload FROM dump_sdk_json UNION ALL SELECT dump_id, payload FROM dump_otlp)
+) WHERE reason IS NOT NULL""")
 def refused_dumps(spark: SparkSession, d: str) -> DataFrame:
     """Raw dumps that aren't SDK arrays, with the reason."""
     both = table(spark, d, "dump_sdk_json").unionByName(table(spark, d, "dump_otlp"))

@@ -76,4 +76,6 @@ SQL = {
     "p5_found": f"""{_CHAINS} SELECT trace_id, span_id, top_span_id, n_links, CASE link_state WHEN 'under_root' THEN 'deep' ELSE link_state END AS link_state
 FROM chains WHERE link_state <> 'root' AND (link_state <> 'under_root' OR n_links >= 8)""",
     "p5_paths": f"{_CHAINS} SELECT * FROM chains",
+    "p5_descendants": f"""{_CHAINS} SELECT trace_id, p[i] AS span_id, span_id AS descendant_id, len(p) - i AS n_links
+FROM (SELECT trace_id, span_id, string_split(path, '/') AS p FROM chains), unnest(range(1, len(p))) AS t(i)""",
 }

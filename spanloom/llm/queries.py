@@ -124,6 +124,18 @@ _RUNS = f"""WITH {_CURRENT}, named AS (
   FROM numbered WHERE nm IS NOT NULL GROUP BY trace_id, run
 )"""
 
+def _pairs_sql() -> str:
+    """All pairs of spans that share a shingle, with their exact similarity."""
+    return f"""WITH {_CURRENT}, w AS (
+  SELECT span_id, regexp_extract_all(lower(coalesce(input_text, '') || chr(10) || coalesce(output_text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM current_spans
+), sh AS (
+  SELECT DISTINCT span_id, hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS h FROM (SELECT * FROM w WHERE len(w) >= 30), unnest(range(1, len(w) - 1)) AS t(i)
+), sizes AS (SELECT span_id, count(*) AS n FROM sh GROUP BY span_id),
+met AS (SELECT a.span_id AS x, b.span_id AS y, count(*) AS n FROM sh a JOIN sh b ON a.h = b.h AND a.span_id < b.span_id GROUP BY ALL), found AS (
+  SELECT x AS span_id_a, y AS span_id_b FROM met JOIN sizes p ON p.span_id = x JOIN sizes q ON q.span_id = y WHERE 10 * met.n >= 6 * (p.n + q.n - met.n)
+)"""
+
+
 def _patterns_sql() -> str:
     """Leftmost ends of each frequent pattern in each trace, one item longer each time."""
     steps = [
@@ -168,13 +180,12 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_supports, p1_closed, p3_found, p
 SQL = {
     "p1_found": f"{_patterns_sql()} SELECT steps FROM found",
     "p1_supports": f"{_patterns_sql()} SELECT * FROM found",
-    "p4_found": f"""WITH {_CURRENT}, w AS (
-  SELECT span_id, regexp_extract_all(lower(coalesce(input_text, '') || chr(10) || coalesce(output_text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM current_spans
-), sh AS (
-  SELECT DISTINCT span_id, hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS h FROM (SELECT * FROM w WHERE len(w) >= 30), unnest(range(1, len(w) - 1)) AS t(i)
-), sizes AS (SELECT span_id, count(*) AS n FROM sh GROUP BY span_id),
-met AS (SELECT a.span_id AS x, b.span_id AS y, count(*) AS n FROM sh a JOIN sh b ON a.h = b.h AND a.span_id < b.span_id GROUP BY ALL)
-SELECT x AS span_id_a, y AS span_id_b FROM met JOIN sizes p ON p.span_id = x JOIN sizes q ON q.span_id = y WHERE 10 * met.n >= 6 * (p.n + q.n - met.n)""",
+    "p4_found": f"{_pairs_sql()} SELECT * FROM found",
+    "p4_groups": f"""{_pairs_sql().replace("WITH", "WITH RECURSIVE", 1)}, links AS (
+  SELECT span_id_a AS a, span_id_b AS b FROM found UNION ALL SELECT span_id_b, span_id_a FROM found
+), near AS (SELECT a, b FROM links UNION SELECT n.a, l.b FROM near n JOIN links l ON l.a = n.b),
+least AS (SELECT a, min(b) AS b FROM near GROUP BY a)
+SELECT trace_id, a AS span_id, least(a, b) AS group_id, (SELECT count(*) FROM links WHERE links.a = least.a) AS n_links FROM least JOIN current_spans ON span_id = a""",
     "p8_statistics": f"""{_STATISTICS}
 SELECT doc_id, text IS NOT NULL AS has_text, coalesce(n_chars, 0) AS n_chars, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
        coalesce(n_symbols, 0) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_ended, 0) AS n_ended, coalesce(n_common, 0) AS n_common,

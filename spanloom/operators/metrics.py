@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import verdict
-from spanloom.operators.events import EVENT_ORDER
+from spanloom.functions.vectors import cosine
+from spanloom.operators.events import EVENT_ORDER, numbered
 from spanloom.schema import GUARD_D, GUARD_PAIR_FPR
+from spanloom.storage import store
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:
@@ -72,12 +74,34 @@ def split_pairs(scored: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.join(labels, "trace_id").withColumn("dup", F.coalesce(dup, F.lit(False)))
 
 
-def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Count, 10th, 50th and 90th percentile (interpolated) and mean, to six places."""
-    p = lambda q: F.round(F.percentile(value, q), 6)
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"), F.round(F.avg(value), 6).alias("mean")
-    )
+def percentiles(df: DataFrame, value: str, by: str, **shares: float) -> DataFrame:
+    """Exact percentiles of each group, interpolated between neighbours; nulls don't count.
+
+    The built-in exact percentile gathers a group's values in one buffer. Here the values are
+    sorted over range partitions and numbered, and only those at the wanted places are aggregated.
+    """
+    rows = df.select(F.coalesce(F.col(by).cast("string"), F.lit("\0")).alias("trace_id"), F.col(value).alias("start_time")).where("start_time IS NOT NULL")
+    placed = numbered(rows.withColumns({"pos": F.lit(0), "span_id": F.lit("")}))
+    counts = rows.groupBy("trace_id").agg(F.count("*").alias("n"))
+    at = {name: (F.col("n") - 1) * F.lit(p) for name, p in shares.items()}
+    wanted = F.array(*(f(k) + 1 for k in at.values() for f in (F.floor, F.ceil)))
+    near = placed.join(counts, "trace_id").where(F.array_contains(wanted, F.col("seq")))
+
+    def between(k: Column) -> Column:
+        low = F.max(F.when(F.col("seq") == F.floor(k) + 1, F.col("start_time")))
+        high = F.max(F.when(F.col("seq") == F.ceil(k) + 1, F.col("start_time")))
+        share = F.max(k - F.floor(k))
+        return low + (high - low) * share
+
+    return near.groupBy(F.nullif("trace_id", F.lit("\0")).cast(df.schema[by].dataType).alias(by)).agg(*(between(k).alias(name) for name, k in at.items()))
+
+
+def summary(df: DataFrame, value: str, by: str) -> DataFrame:
+    """Count, 10th, 50th and 90th percentile (interpolated) and mean of each group, to six places."""
+    parts = percentiles(df, value, by, p10=0.1, median=0.5, p90=0.9)
+    sums = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    shown = sums.join(parts.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
+    return shown.select(by, "n", *(F.round(c, 6).alias(c) for c in ("p10", "median", "p90", "mean")))
 
 
 def separation(pairs: DataFrame) -> DataFrame:
@@ -86,21 +110,27 @@ def separation(pairs: DataFrame) -> DataFrame:
     ``phi``, ``gap``, ``cohens_d`` (0 with fewer than two values, infinite without spread),
     ``pair_fpr`` at that threshold, and ``failures`` of the guards joined by commas.
     """
-    value = lambda dup: F.when(F.col("dup") == dup, F.col("cosine"))
-    stats = pairs.groupBy().agg(
-        F.percentile(value(True), 0.1).alias("p10"),
-        F.percentile(value(False), 0.9).alias("p90"),
-        *(f(value(d)).alias(f"{n}{i}") for i, d in enumerate((True, False)) for n, f in (("mean", F.avg), ("var", F.var_samp), ("n", F.count))),
-    ).withColumn("phi", (F.col("p10") + F.col("p90")) / 2)
-    # the one row of statistics meets every pair once more
-    above = pairs.where("NOT dup").crossJoin(F.broadcast(stats.select("phi"))).groupBy().agg(F.avg((F.col("cosine") >= F.col("phi")).cast("double")).alias("pair_fpr"))
-    spread = F.sqrt((F.col("var0") + F.col("var1")) / 2)
+    pairs = store(pairs.select("dup", "cosine"), "similarities").df
+    parts = {r.dup: r for r in percentiles(pairs, "cosine", "dup", p10=0.1, p90=0.9).collect()}
+    stats = pairs.groupBy("dup").agg(F.avg("cosine").alias("mean"), F.var_samp("cosine").alias("var"), F.count("cosine").alias("n")).collect()
+    found = {f"{c}{i}": None if c != "n" else 0 for i in (0, 1) for c in ("mean", "var", "n")}
+    for r in stats:
+        found |= {f"{c}{0 if r.dup else 1}": r[c] for c in ("mean", "var", "n")}
+    found |= {"p10": parts[True].p10 if True in parts else None, "p90": parts[False].p90 if False in parts else None}
+    found["phi"] = None if None in (found["p10"], found["p90"]) else (found["p10"] + found["p90"]) / 2
+    known = lambda c: F.lit(found[c]).cast("double")  # noqa: E731  # two rows of statistics, used as literals
+    spread = F.sqrt((known("var0") + known("var1")) / 2)
     d = (
-        F.when((F.col("n0") < 2) | (F.col("n1") < 2), 0.0)
-        .when(spread == 0, F.when(F.col("mean0") == F.col("mean1"), 0.0).otherwise(float("inf")))
-        .otherwise((F.col("mean0") - F.col("mean1")) / spread)
+        F.when(F.lit(found["n0"] < 2 or found["n1"] < 2), 0.0)
+        .when(spread == 0, F.when(known("mean0") == known("mean1"), 0.0).otherwise(float("inf")))
+        .otherwise((known("mean0") - known("mean1")) / spread)
+    )
+    above = F.avg(F.when(~F.col("dup"), (F.col("cosine") >= known("phi")).cast("double")))
+    row = (
+        pairs.groupBy()
+        .agg(above.alias("pair_fpr"))
+        .select(known("phi").alias("phi"), (known("p10") - known("p90")).alias("gap"), d.alias("cohens_d"), F.coalesce("pair_fpr", F.lit(0.0)).alias("pair_fpr"))
     )
-    row = stats.crossJoin(above).select("phi", (F.col("p10") - F.col("p90")).alias("gap"), d.alias("cohens_d"), F.coalesce("pair_fpr", F.lit(0.0)).alias("pair_fpr"))
     failed = F.array_compact(
         F.array(
             F.when(F.col("gap").isNull() | (F.col("gap") <= 0), F.lit("gap")),
@@ -165,17 +195,14 @@ def pair_statistics(scored_spans: DataFrame, phi: float, block: int = 2_000) ->
     Input: ``trace_id``, ``span_id``, ``v`` (vector). What is asked for is quadratic in the length of
     a trace; long traces are split into blocks, so that a task compares two blocks at a time.
     """
-    from spanloom.functions.vectors import cosine
-
     sizes = scored_spans.groupBy("trace_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = scored_spans.select("trace_id", "span_id", "v").join(sizes, "trace_id").withColumn("own", F.pmod(F.xxhash64("span_id"), F.col("blocks")).cast("int"))
     left = placed.select("trace_id", F.col("span_id").alias("a"), F.col("v").alias("va"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
     right = placed.select("trace_id", F.col("span_id").alias("b"), F.col("v").alias("vb"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
     met = left.join(right, ["trace_id", "i", "j"]).where("i < j OR a < b").select("trace_id", cosine(F.col("va"), F.col("vb")).alias("cosine"))
-    return met.groupBy("trace_id").agg(
-        F.count("*").alias("pairs"),
-        F.min("cosine").alias("min_cosine"),
-        F.percentile("cosine", 0.5).alias("median_cosine"),
-        F.max("cosine").alias("max_cosine"),
-        F.count_if(F.col("cosine") >= phi).alias("above"),
+    met = store(met, "similarities").df
+    sums = met.groupBy("trace_id").agg(
+        F.count("*").alias("pairs"), F.min("cosine").alias("min_cosine"), F.max("cosine").alias("max_cosine"), F.count_if(F.col("cosine") >= phi).alias("above")
     )
+    middle = percentiles(met, "cosine", "trace_id", median_cosine=0.5)
+    return sums.join(middle, "trace_id").select("trace_id", "pairs", "min_cosine", "median_cosine", "max_cosine", "above")

@@ -98,6 +98,7 @@ def percentiles(df: DataFrame, value: str, by: str, **shares: float) -> DataFram
 
 def summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """Count, 10th, 50th and 90th percentile (interpolated) and mean of each group, to six places."""
+    df = store(df.select(by, value), "values").df
     parts = percentiles(df, value, by, p10=0.1, median=0.5, p90=0.9)
     sums = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     shown = sums.join(parts.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")

@@ -192,8 +192,8 @@ def fit_mixture(table: DataFrame, examples: list[tuple[str, str, np.ndarray]], r
         held = mass > 1e-6 * n  # a component without documents stays where it is
         safe = np.where(held, mass, 1.0)
         new = np.where(held[:, None], sums / safe[:, None], model.centres)
-        spread = squares / safe[:, None, None] - np.einsum("ki,kj->kij", new, new)
-        model.covariances = np.where(held[:, None, None], (spread + spread.transpose(0, 2, 1)) / 2 + 1e-2 * np.eye(d), model.covariances)
+        scatter = squares / safe[:, None, None] - np.einsum("ki,kj->kij", new, new)
+        model.covariances = np.where(held[:, None, None], (scatter + scatter.transpose(0, 2, 1)) / 2 + 1e-2 * np.eye(d), model.covariances)
         model.centres, model.weights = new, mass / n
         if abs(total[0] - last) <= tolerance * abs(total[0]):
             break

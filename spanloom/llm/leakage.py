@@ -1,12 +1,13 @@
-"""Evaluation items inside a corpus: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation items inside a corpus: n-gram seeds, then Smith-Waterman alignment.
 
 Items are a stated query set; they are worked off in blocks of bounded size, each of which is
-broadcast. For a block the corpus is scanned twice. The first scan counts in how many documents each
-n-gram of the items occurs. In every window of ``span`` words of an item the rarest n-gram that does
-occur becomes a seed, so whatever shares ``span`` consecutive words with an item shares a seed with
-it; so does every n-gram of at most ``rare`` documents, for the sake of edited copies. The second
-scan looks up the seeds in each whole document, groups the hits by diagonal and aligns the item with
-the words around them. Documents never move; only counts and findings leave a task.
+broadcast. Every n-gram of a block's items is a seed, however common it is, so an edited copy is met
+by any ``n`` words left in a row. A scan looks up the seeds in each whole document, groups the hits
+by diagonal and aligns the item with the words around them, many pairs at a time.
+
+Where only runs of ``span`` words matter, fewer seeds do: a scan before counts in how many documents
+each n-gram occurs, and the rarest that does occur in every window of ``span`` words of an item
+becomes a seed. Documents never move; only counts and findings leave a task.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from spanloom.operators.parallel import spread
 _FOUND = "doc_id long, item_id long, score long, share double, longest_run int, at_word long"
 _CHUNK_CHARS = 500_000
 _NEVER = 2**62
+_CELLS = 200_000  # of a step of the alignment, over all pairs in it
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -42,26 +44,51 @@ class Block:
     place: np.ndarray
 
 
-def align(item: np.ndarray, text: np.ndarray, run: int) -> tuple[int, int, int]:
-    """Best local alignment score, the place in the text where it ends, and the longest common run."""
-    n = len(text)
-    reach = np.arange(n + 1, dtype=np.int64) * -GAP
-    above, runs = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    best, at, longest = 0, 0, 0
-    for w in item:
-        equal = text == w
-        here = np.zeros(n + 1, np.int64)
-        here[1:] = np.maximum(above[:-1] + np.where(equal, MATCH, MISMATCH), above[1:] + GAP)
+def _align_batch(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """``align`` of each pair as a row. Beyond a shorter item or text nothing is equal, so no score grows."""
+    rows, n = len(items), max(map(len, texts))
+    text, real = np.zeros((rows, n), np.uint64), np.zeros((rows, n), bool)
+    item, lengths = np.zeros((rows, max(map(len, items))), np.uint64), np.array([len(x) for x in items])
+    for k, (x, t) in enumerate(zip(items, texts)):
+        item[k, : len(x)], text[k, : len(t)], real[k, : len(t)] = x, t, True
+    reach = np.arange(n + 1, dtype=np.int32) * -GAP
+    above, runs = np.zeros((rows, n + 1), np.int32), np.zeros((rows, n + 1), np.int32)
+    out, each = np.zeros((rows, 3), np.int64), np.arange(rows)
+    for i in range(item.shape[1]):
+        equal = (text == item[:, i : i + 1]) & real & (lengths > i)[:, None]
+        here = np.zeros((rows, n + 1), np.int32)
+        here[:, 1:] = np.maximum(above[:, :-1] + np.where(equal, np.int32(MATCH), np.int32(MISMATCH)), above[:, 1:] + np.int32(GAP))
         np.maximum(here, 0, out=here)
         # a gap in the item: the best start to the left, less the way from it
-        here = np.maximum.accumulate(here + reach) - reach
-        now = np.zeros(n + 1, np.int64)
-        now[1:] = np.where(equal, runs[:-1] + 1, 0)
-        longest = max(longest, int(now.max()))
-        if (top := int(here.max())) > best:
-            best, at = top, int(here.argmax())
+        here = np.maximum.accumulate(here + reach, axis=1) - reach
+        now = np.zeros((rows, n + 1), np.int32)
+        now[:, 1:] = np.where(equal, runs[:, :-1] + 1, 0)
+        out[:, 2] = np.maximum(out[:, 2], now.max(axis=1))
+        at = here.argmax(axis=1)
+        top = here[each, at]
+        better = top > out[:, 0]
+        out[better, 0], out[better, 1] = top[better], at[better]
         above, runs = here, now
-    return best, at, longest
+    return out
+
+
+def align_many(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """Of each pair: best local alignment score, the place in the text where it ends, longest common run."""
+    out, order, at = np.zeros((len(items), 3), np.int64), sorted(range(len(texts)), key=lambda k: len(texts[k])), 0
+    while at < len(order):
+        past = at + 1
+        while past < len(order) and (past + 1 - at) * len(texts[order[past]]) <= _CELLS:
+            past += 1
+        part = order[at:past]
+        out[part] = _align_batch([items[k] for k in part], [texts[k] for k in part])
+        at = past
+    return out
+
+
+def align(item: np.ndarray, text: np.ndarray, run: int) -> tuple[int, int, int]:
+    """Best local alignment score, the place in the text where it ends, and the longest common run."""
+    score, end, longest = align_many([item], [text])[0].tolist()
+    return score, end, longest
 
 
 def _numbers(texts: list[str], hasher: WordHasher) -> list[np.ndarray]:
@@ -106,7 +133,7 @@ def _count_grams(grams: np.ndarray, n: int):
     return run
 
 
-def _find(block: Block, n: int, span: int, slack: int):
+def _find(block: Block, n: int, slack: int):
     schema = arrow_schema(_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,21 +152,24 @@ def _find(block: Block, n: int, span: int, slack: int):
             item, owner = block.item[seed], text[which]
             order = np.lexsort((begin, item, owner))
             begin, item, owner = begin[order], item[order], owner[order]
-            rows, i = [], 0
+            near, i = [], 0  # text, item, and the part of the text to align
             while i < len(begin):
                 d, k, lo = int(owner[i]), int(item[i]), int(begin[i])
                 words = block.words[k]
-                best = (0, 0, 0)
                 while i < len(begin) and owner[i] == d and item[i] == k:
                     lo = hi = int(begin[i])
                     while i < len(begin) and owner[i] == d and item[i] == k and begin[i] <= hi + len(words) + 2 * slack:
                         hi = int(begin[i])
                         i += 1
-                    a, b = max(0, lo - slack), min(int(counts[d]), hi + len(words) + slack)
-                    score, end, longest = align(words, hashes[starts[d] + a : starts[d] + b], span)
-                    best = (max(best[0], score), a + end if score > best[0] else best[1], max(best[2], longest))
-                rows.append((ids[d], block.ids[k], best[0], best[0] / (MATCH * len(words)), best[2], best[1]))
-            yield batch_of(rows, schema)
+                    near.append((d, k, max(0, lo - slack), min(int(counts[d]), hi + len(words) + slack)))
+            aligned = align_many([block.words[k] for _, k, _, _ in near], [hashes[starts[d] + a : starts[d] + b] for d, _, a, b in near])
+            found: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for (d, k, a, _), (score, end, longest) in zip(near, aligned.tolist()):
+                best = found.get((d, k), (0, 0, 0))
+                found[d, k] = (max(best[0], score), a + end if score > best[0] else best[1], max(best[2], longest))
+            yield batch_of(
+                [(ids[d], block.ids[k], score, score / (MATCH * len(block.words[k])), longest, at) for (d, k), (score, at, longest) in found.items()], schema
+            )
 
     return run
 
@@ -148,30 +178,34 @@ def _block(ids: list[int], texts: list[str], n: int) -> Block:
     words = _numbers(texts, WordHasher())
     flat, counts = np.concatenate(words), np.array([len(w) for w in words], np.int64)
     h, item, place = shingles(flat, counts, n)
-    return Block(ids, words, np.unique(h), h, item, place)
+    order = np.argsort(h, kind="stable")
+    return Block(ids, words, np.unique(h), h[order], item[order], place[order])
 
 
-def _choose_seeds(block: Block, counts: dict[int, int], n: int, span: int, rare: int) -> None:
-    """Keeps the rare n-grams and the rarest of every window, of equals the last; short items are
-    one window. What occurs in no document can't be met."""
+def _choose_seeds(block: Block, counts: dict[int, int], n: int, span: int) -> None:
+    """Keeps the rarest n-gram of every window, of equals the last; short items are one window.
+    What occurs in no document can't be met."""
     number = np.searchsorted(block.grams, block.seeds)
     often = np.array([counts.get(int(g), _NEVER) for g in number], np.int64)
-    keep = often <= rare
+    keep = np.zeros(len(often), bool)
     for k in range(len(block.ids)):
         mine = np.flatnonzero(block.item == k)
+        mine = mine[np.argsort(block.place[mine])]
         width = max(1, min(span - n + 1, len(mine)))
         for i in range(len(mine) - width + 1):
             window = mine[i : i + width]
             keep[window[width - 1 - int(np.argmin(often[window][::-1]))]] = True
     keep &= often < _NEVER
-    order = np.argsort(block.seeds[keep], kind="stable")
-    block.seeds, block.item, block.place = block.seeds[keep][order], block.item[keep][order], block.place[keep][order]
+    block.seeds, block.item, block.place = block.seeds[keep], block.item[keep], block.place[keep]
 
 
 def leaked_items(
-    documents: DataFrame, items: DataFrame, *, n: int = 5, span: int = 12, rare: int = 10, slack: int = 16, block_chars: int = 5_000_000
+    documents: DataFrame, items: DataFrame, *, n: int = 5, span: int = 12, only_runs: bool = False, slack: int = 16, block_chars: int = 5_000_000
 ) -> DataFrame:
-    """(document, item) pairs that share a seed, with their alignment.
+    """(document, item) pairs that share ``n`` consecutive words, with their alignment.
+
+    ``only_runs``: pairs that share ``span`` consecutive words are wanted, and of the others only
+    some are met; this saves most of the alignments.
 
     Output: ``doc_id``, ``item_id``, ``score`` (matching words count 2, others and gaps -1), its
     ``share`` of the item's best possible score, ``longest_run`` of common consecutive words (exact
@@ -186,9 +220,11 @@ def leaked_items(
 
     def search(ids: list[int], texts: list[str]) -> DataFrame:
         block = _block(ids, texts, n)
+        if not only_runs:
+            return docs.mapInArrow(_find(block, n, slack), _FOUND)
         tallies = docs.mapInArrow(_count_grams(block.grams, n), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        _choose_seeds(block, {r.gram: r.n for r in tallies.toLocalIterator()}, n, span, rare)
-        return docs.mapInArrow(_find(block, n, span, slack), _FOUND)
+        _choose_seeds(block, {r.gram: r.n for r in tallies.toLocalIterator()}, n, span)
+        return docs.mapInArrow(_find(block, n, slack), _FOUND)
 
     ids, texts, size = [], [], 0
     for row in items.select(F.col("item_id").cast("long"), F.col("item_text").cast("binary")).toLocalIterator():

@@ -79,11 +79,12 @@ def p6_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents and the items of which they hold twelve consecutive words."""
-    return p7_aligned(spark, d).where("longest_run >= 12").select("doc_id", "item_id").distinct()
+    runs = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), only_runs=True)
+    return runs.where("longest_run >= 12").select("doc_id", "item_id").distinct()
 
 
 def p7_aligned(spark: SparkSession, d: str) -> DataFrame:
-    """All documents that share a rare passage with an item, and how well they align."""
+    """All documents that share five consecutive words with an item, and how well they align."""
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 

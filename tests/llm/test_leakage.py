@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from spanloom.functions.text import words
-from spanloom.llm.leakage import align, leaked_items
+from spanloom.llm.leakage import align, align_many, leaked_items
 
 DOCS = "doc_id long, text string, item_id long, score long"
 ITEMS = "item_id long, item_text string, doc_id long, n int"
@@ -74,6 +74,31 @@ def test_edited_copies_align(spark):
     assert rows[0].longest_run < 12 and rows[0].share > 0.75 and rows[0].at_word == 2 + len(copy)
 
 
+def test_many_edited_copies_beside_an_exact_one(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    copy = " ".join(w for i, w in enumerate(item.split()) if i % 9 != 4)
+    docs = [(d, copy, 0, 0) for d in range(12)] + [(99, item, 0, 0)]
+    rows = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, item, 0, 0)], ITEMS)).collect()
+    assert {r.doc_id: r.longest_run >= 12 for r in rows} == {d: d == 99 for d in [*range(12), 99]}
+    assert all(r.share > 0.75 for r in rows)
+
+
+def test_every_pair_with_a_common_n_gram_and_its_alignment(spark):
+    docs, items = tables(3)
+    found = leaked_items(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS), block_chars=300).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute_found(docs, items, 5)
+    runs = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), only_runs=True)
+    assert {(r.doc_id, r.item_id) for r in runs.collect() if r.longest_run >= 12} == brute_found(docs, items)
+
+
+def test_alignments_of_a_batch_equal_single_ones():
+    rng = random.Random(4)
+    some = lambda n: np.array([rng.randrange(6) for _ in range(n)], np.uint64)
+    items, texts = [some(rng.randint(1, 15)) for _ in range(50)], [some(rng.randint(1, 25)) for _ in range(50)]
+    for (score, _, run), i, t in zip(align_many(items, texts).tolist(), items, texts):
+        assert (score, run) == brute_align(i.tolist(), t.tolist())
+
+
 def test_empty_tables(spark):
     none_d, none_i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     item = spark.createDataFrame([(1, " ".join("abcdefghijklmnop"), 0, 0)], ITEMS)

@@ -14,6 +14,8 @@ a closed one, and its support is the greatest of theirs.
 No sequence is ever held whole. A trace is cut at partition borders, and each piece is reduced to a
 short sequence with the same subsequences up to the wanted length (plus one for the closure check);
 reductions of pieces can be joined and reduced again. Equal sequences are counted once, with weight.
+If a frequent pattern turns out as long as the reductions go, they are made anew for longer patterns,
+so that the closed patterns are exact at any length.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,7 +70,7 @@ def _sequences(codes: dict[str, int], k: int):
     schema = arrow_schema(_PIECE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, items, first, ready = None, [], True, []
+        head, items, first, ready, most = None, [], True, [], 8192
         for batch in batches:
             for trace, span, name, us, pos in rows_of(batch):
                 if head is None or trace != head[0]:
@@ -77,10 +78,11 @@ def _sequences(codes: dict[str, int], k: int):
                         if items or first:
                             ready.append((*head, shorten(items, k) if len(items) > 32 else items, first))
                         first = False
-                    head, items = (trace, us, pos, span), []
+                    head, items, most = (trace, us, pos, span), [], 8192
                 items.append(codes[name])
-                if len(items) >= 8192:
+                if len(items) >= most:
                     items = shorten(items, k)
+                    most = max(8192, 2 * len(items))
             if len(ready) >= 10_000:
                 yield batch_of(ready, schema)
                 ready = []
@@ -171,8 +173,8 @@ def _count(prefixes: list[tuple[int, ...]]):
     return run
 
 
-def mine_closed(sequences: DataFrame, items: list[tuple[int, int]], min_support: int, max_live: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
-    """All closed patterns with their supports.
+def mine_closed(sequences: DataFrame, items: list[tuple[int, int]], min_support: int, max_live: int = 20_000, below: int | None = None) -> list[tuple[tuple[int, ...], int]] | None:
+    """All closed patterns with their supports; None as soon as a frequent one has ``below`` items.
 
     ``sequences``: ``items`` (array of int) and ``n`` (weight), written. ``items``: the frequent
     items with their supports. The result is the answer itself and doesn't grow with the data, as
@@ -181,6 +183,8 @@ def mine_closed(sequences: DataFrame, items: list[tuple[int, int]], min_support:
     live = [((x,), n) for x, n in sorted(items)]
     closed: list[tuple[tuple[int, ...], int]] = []
     while live:
+        if below is not None and len(live[0][0]) >= below:
+            return None
         grown: list[tuple[tuple[int, ...], int]] = []
         for at in range(0, len(live), max_live):
             part = live[at : at + max_live]  # sorted, hence by first item
@@ -208,13 +212,26 @@ def mine_closed(sequences: DataFrame, items: list[tuple[int, int]], min_support:
     return closed
 
 
+def _distinct_subsequences(items: list[int], max_len: int) -> Iterator[list[tuple[int, ...]]]:
+    """The distinct subsequences of 1, 2, ... items."""
+    level: dict[tuple[int, ...], int] = {(): 0}  # with the place after the first embedding
+    for _ in range(min(max_len, len(items))):
+        grown: dict[tuple[int, ...], int] = {}
+        for p, at in level.items():
+            for i in range(at, len(items)):
+                grown.setdefault((*p, items[i]), i + 1)
+        yield list(grown)
+        level = grown
+
+
 def _recover(min_len: int, max_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema("items array<int>, support long")
         for batch in batches:
             for items, support in rows_of(batch):
-                for length in range(min_len, min(max_len, len(items)) + 1):
-                    yield batch_of([(list(c), support) for c in set(combinations(items, length))], schema)
+                for length, found in enumerate(_distinct_subsequences(items, max_len), 1):
+                    if length >= min_len:
+                        yield batch_of([(list(c), support) for c in found], schema)
 
     return run
 
@@ -227,6 +244,7 @@ def frequent_subsequences(
     min_share: str = "0.06",
     min_len: int = 3,
     max_len: int = 5,
+    longer: bool = True,
     max_live: int = 20_000,
 ) -> tuple[DataFrame, DataFrame]:
     """All patterns of ``min_len`` to ``max_len`` names, and the closed ones, with their supports.
@@ -235,7 +253,8 @@ def frequent_subsequences(
     Events with a null trace, name or start are left out. Ties go by ``pos``, then ``span_id``.
     Support is counted once a trace, and must reach ``min_support`` and ``min_share`` of
     ``n_sequences``. Both results have ``steps`` (names joined by ``>``), ``length`` and
-    ``support``; they are empty where nothing is frequent.
+    ``support``; they are empty where nothing is frequent. The closed ones are of any length; without
+    ``longer`` those of up to ``max_len`` names, which saves mining the rest.
     """
     spark = events.sparkSession
     least = max(min_support, 1, -(-Fraction(min_share) * n_sequences // 1))
@@ -247,24 +266,34 @@ def frequent_subsequences(
 
     kept = named.where(F.col("name").isin(names)) if names else named.where("false")
     ordered = in_event_order(kept).select("trace_id", "span_id", "name", F.unix_micros("start_time").alias("us"), F.col("pos").cast("long"))
+
+    def mined(k: int, below: int | None) -> list[tuple[tuple[int, ...], int]] | None:
+        """Exact for closed patterns of fewer than ``k`` items."""
+        pieces = store(ordered.mapInArrow(_sequences(codes, k), _PIECE), "pieces")
+        joined = (
+            pieces.df.where("border")
+            .groupBy("trace_id")
+            .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("us", "pos", "span_id", "items"))), lambda p: p["items"])).alias("items"))
+            .select("items")
+            .mapInArrow(_shorten_column(k), "items array<int>")
+        )
+        sequences = store(pieces.df.where("NOT border").select("items").unionByName(joined).groupBy("items").agg(F.count("*").alias("n")), "sequences")
+        closed = mine_closed(sequences.df, supports, int(least), max_live, below)
+        sequences.drop()
+        pieces.drop()
+        return closed
+
     k = max_len + 1
-    pieces = store(ordered.mapInArrow(_sequences(codes, k), _PIECE), "pieces")
-    joined = (
-        pieces.df.where("border")
-        .groupBy("trace_id")
-        .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("us", "pos", "span_id", "items"))), lambda p: p["items"])).alias("items"))
-        .select("items")
-        .mapInArrow(_shorten_column(k), "items array<int>")
-    )
-    sequences = store(pieces.df.where("NOT border").select("items").unionByName(joined).groupBy("items").agg(F.count("*").alias("n")), "sequences")
-    closed = mine_closed(sequences.df, supports, int(least), max_live)
-    sequences.drop()
-    pieces.drop()
+    closed = None if longer else mined(k, None)
+    while closed is None:
+        k *= 2
+        closed = mined(k, k)
 
     found = spark.createDataFrame([(list(p), n) for p, n in closed], "items array<int>, support long")
+    exact = found if longer else found.where(F.size("items") <= max_len)
     table = F.array(*(F.lit(x) for x in names)) if names else F.array().cast("array<string>")
     shown = lambda df: df.select(
         F.array_join(F.transform("items", lambda i: F.element_at(table, i + 1)), ">").alias("steps"), F.size("items").alias("length"), "support"
     )
     every = found.mapInArrow(_recover(min_len, max_len), "items array<int>, support long").groupBy("items").agg(F.max("support").alias("support"))
-    return shown(every), shown(found)
+    return shown(every), shown(exact)

@@ -16,11 +16,11 @@ from spanloom.operators.events import current_spans
 from spanloom.sources.tables import table
 
 
-def _patterns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _patterns(spark: SparkSession, d: str, longer: bool = False) -> tuple[DataFrame, DataFrame]:
     spans = table(spark, d, "spans")
     traces = spans.select("trace_id").where("trace_id IS NOT NULL").distinct().count()
     current = current_spans(spans, "parent_span_id", "start_time", "pos", name=span_name("agent_or_node_id"))
-    return frequent_subsequences(current.where("parent_span_id <> ''"), n_sequences=traces)
+    return frequent_subsequences(current.where("parent_span_id <> ''"), n_sequences=traces, longer=longer)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def p1_supports(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_closed(spark: SparkSession, d: str) -> DataFrame:
     """The closed patterns of any length, from which all others follow."""
-    return _patterns(spark, d)[1]
+    return _patterns(spark, d, longer=True)[1]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

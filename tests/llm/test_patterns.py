@@ -79,6 +79,25 @@ def test_shortened_sequences_contain_the_same(k):
     assert len(shorten([0, 1] * 5000, 5)) < 30
 
 
+def test_closed_patterns_of_long_traces(spark):
+    sequences = ["a" * 36 + "b"] * 4 + ["c" + "a" * 40] * 2 + ["abc"]
+    every, closed = frequent_subsequences(events(spark, sequences), n_sequences=7, min_support=4, min_share="0")
+    assert {r.steps.replace(">", ""): r.support for r in closed.collect()} == {"a": 7, "ab": 5, "a" * 36: 6, "a" * 36 + "b": 4}
+    assert {r.steps.replace(">", ""): r.support for r in every.collect()} == {"aaa": 6, "aaaa": 6, "aaaaa": 6, "aab": 4, "aaab": 4, "aaaab": 4}
+
+
+def test_closed_patterns_at_borders(spark):
+    rng = random.Random(9)
+    core = "abcdeabc"
+    sequences = ["".join(x + rng.choice("xyz") * rng.randint(0, 4) for x in core) for _ in range(30)]
+    closed = frequent_subsequences(events(spark, sequences).repartition(7), n_sequences=30, min_support=20, min_share="0")[1]
+    got = {r.steps.replace(">", ""): r.support for r in closed.collect()}
+    assert any(core in (p.replace("x", "").replace("y", "").replace("z", "")) for p in got)
+    for p, n in got.items():
+        assert n == sum(contains(s, p) for s in sequences)
+        assert all(sum(contains(s, p[:i] + x + p[i:]) for s in sequences) < n for i in range(len(p) + 1) for x in "abcdexyz"), p
+
+
 def test_nulls_and_empty_tables(spark):
     every, closed = frequent_subsequences(events(spark, []), n_sequences=0)
     assert every.count() == 0 and closed.count() == 0

@@ -30,7 +30,7 @@ from spanloom.sources.payloads import attributes, hex_id, spans_of
 
 SLOTS = {"input": "input.value", "output": "output.value"}
 _OCCURRENCE = (
-    "dump_id long, span_id string, slot string, obj_path string, parent_path string, "
+    "dump_id long, span_id string, span_at int, slot string, obj_path string, parent_path string, "
     "ordinal int, object_id string, parent_object_id string, content string"
 )
 
@@ -131,16 +131,17 @@ def _parse(with_content: bool):
                 except ValueError:
                     continue
                 seen = set()
-                for span, raw_id in spans_of(payload):
+                for place, (span, raw_id) in enumerate(spans_of(payload)):
                     span_id, known = hex_id(raw_id), attributes(span)
+                    at = place if span_id is None else None
                     for slot, key in SLOTS.items():
                         root = slot_value(known.get(key))
                         if isinstance(root, (dict, list)):
                             for o in occurrences(root, with_content):
                                 # a span sent twice adds nothing new
-                                if (mark := (span_id, slot, o[0], o[3])) not in seen:
+                                if (mark := (span_id, at, slot, o[0], o[3])) not in seen:
                                     seen.add(mark)
-                                    ready.append((dump_id, span_id, slot, *o))
+                                    ready.append((dump_id, span_id, at, slot, *o))
                 if len(ready) >= 5_000:
                     yield batch_of(ready, schema)
                     ready = []
@@ -155,7 +156,8 @@ def explode_records(*dumps: DataFrame, with_content: bool = True) -> DataFrame:
 
     Input: tables with ``dump_id`` and ``payload`` (others are ignored). Null, cut-off and other
     payloads that aren't JSON give no rows, nor do values that don't parse or hold no such object.
-    An undecodable span id is null. Repeated rows repeat occurrences; see ``bridge``.
+    An undecodable span id is null; ``span_at`` then tells such spans of a payload apart by their
+    place in it, and is null for all others. Repeated rows repeat occurrences; see ``bridge``.
     """
     both = None
     for d in dumps:

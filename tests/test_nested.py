@@ -102,6 +102,16 @@ def test_ids():
     ]
 
 
+def test_spans_without_an_id_keep_their_own_occurrences(spark):
+    value = json.dumps([{"a": 1}])
+    spans = [sdk(None, input_value=value), sdk("?", input_value=value), sdk("0x1", input_value=value), sdk("0x1", input_value=value)]
+    df = found(spark, [json.dumps(spans)])
+    rows = bridge(df).collect()
+    assert sorted(r.span_at for r in rows if r.span_id is None) == [0, 1]
+    assert [r.span_at for r in rows if r.span_id is not None] == [None]
+    assert [r.n_occurrences for r in objects(df).collect()] == [3]
+
+
 def test_strict_parser_agrees_with_the_built_in_one():
     for s in ('[1,2.5e3,-0,"a\\u00e9",null,true,{}, [] ,{"a":{}}]', " 3 ", '{"a":[{"b":[]}]}'):
         assert _loads_deep(s) == loads(s) == json.loads(s)

@@ -3,7 +3,8 @@
 Items are a stated query set; they are worked off in blocks of bounded size, each of which is
 broadcast. Every n-gram of a block's items is a seed, however common it is, so an edited copy is met
 by any ``n`` words left in a row. A scan looks up the seeds in each whole document, groups the hits
-by diagonal and aligns the item with the words around them, many pairs at a time.
+by diagonal and aligns the item with the words around them, many pairs at a time. The score of the
+alignment decides whether a pair is a finding.
 
 Where only runs of ``span`` words matter, fewer seeds do: a scan before counts in how many documents
 each n-gram occurs, and the rarest that does occur in every window of ``span`` words of an item
@@ -133,7 +134,7 @@ def _count_grams(grams: np.ndarray, n: int):
     return run
 
 
-def _find(block: Block, n: int, slack: int):
+def _find(block: Block, n: int, slack: int, least: list[float]):
     schema = arrow_schema(_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,8 @@ def _find(block: Block, n: int, slack: int):
                 best = found.get((d, k), (0, 0, 0))
                 found[d, k] = (max(best[0], score), a + end if score > best[0] else best[1], max(best[2], longest))
             yield batch_of(
-                [(ids[d], block.ids[k], score, score / (MATCH * len(block.words[k])), longest, at) for (d, k), (score, at, longest) in found.items()], schema
+                [(ids[d], block.ids[k], score, score / (MATCH * len(block.words[k])), longest, at) for (d, k), (score, at, longest) in found.items() if score >= least[k]],
+                schema,
             )
 
     return run
@@ -200,12 +202,23 @@ def _choose_seeds(block: Block, counts: dict[int, int], n: int, span: int) -> No
 
 
 def leaked_items(
-    documents: DataFrame, items: DataFrame, *, n: int = 5, span: int = 12, only_runs: bool = False, slack: int = 16, block_chars: int = 5_000_000
+    documents: DataFrame,
+    items: DataFrame,
+    *,
+    n: int = 5,
+    span: int = 12,
+    least_share: float = 0.5,
+    only_runs: bool = False,
+    slack: int = 16,
+    block_chars: int = 5_000_000,
 ) -> DataFrame:
-    """(document, item) pairs that share ``n`` consecutive words, with their alignment.
+    """(document, item) pairs that align as well as ``span`` words in a row do.
 
-    ``only_runs``: pairs that share ``span`` consecutive words are wanted, and of the others only
-    some are met; this saves most of the alignments.
+    Any ``n`` consecutive words in common make a pair a candidate; it is a finding if its alignment
+    scores at least what ``span`` matching words do, or ``least_share`` of the best score of a short
+    item. So exact passages of ``span`` words are found, and longer ones with edits in them.
+    ``only_runs``: exact passages of ``span`` words are wanted, and of the others only some are met;
+    this saves most of the alignments.
 
     Output: ``doc_id``, ``item_id``, ``score`` (matching words count 2, others and gaps -1), its
     ``share`` of the item's best possible score, ``longest_run`` of common consecutive words (exact
@@ -220,11 +233,12 @@ def leaked_items(
 
     def search(ids: list[int], texts: list[str]) -> DataFrame:
         block = _block(ids, texts, n)
+        least = [MATCH * min(span, least_share * len(w)) for w in block.words]
         if not only_runs:
-            return docs.mapInArrow(_find(block, n, slack), _FOUND)
+            return docs.mapInArrow(_find(block, n, slack, least), _FOUND)
         tallies = docs.mapInArrow(_count_grams(block.grams, n), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         _choose_seeds(block, {r.gram: r.n for r in tallies.toLocalIterator()}, n, span)
-        return docs.mapInArrow(_find(block, n, slack), _FOUND)
+        return docs.mapInArrow(_find(block, n, slack, least), _FOUND)
 
     ids, texts, size = [], [], 0
     for row in items.select(F.col("item_id").cast("long"), F.col("item_text").cast("binary")).toLocalIterator():

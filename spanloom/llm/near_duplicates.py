@@ -41,7 +41,7 @@ from spanloom.storage import store
 _CHUNK_BYTES = 150_000
 _FLUSH = 1_000_000  # pairs of key and fingerprint that a task gathers before it sends them on
 _GATHER = 4_000_000  # pairs that the task of a bucket holds before it takes out what is frequent
-_BUCKET_BYTES = 8_000_000
+_BUCKET_BYTES = 1_000_000
 _MOST_BUCKETS = 1 << 20
 _MEMBER = "trace_id string, span_id string, at long, fp long, elements array<long>"
 _BLOCK = "bucket int, keys binary, sets binary, x array<long>, y array<long>"
@@ -330,8 +330,8 @@ def near_duplicates(spans: DataFrame, o: Options = Options()) -> NearDuplicates:
 
     hashed = F.xxhash64(text)
 
-    buckets = max(64, min(_MOST_BUCKETS, math.ceil(spans.count() * 16 * o.bands / _BUCKET_BYTES)))
-    tasks = max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
+    buckets = max(1024, min(_MOST_BUCKETS, math.ceil(spans.count() * 16 * o.bands / _BUCKET_BYTES)))
+    tasks = max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 32)
     blocks = spread(spans.select(text.alias("text"), hashed.alias("h"))).mapInArrow(_emit_keys(o, buckets), _BLOCK)
     met = store(blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(o.block), _MET), "met")
     often = met.df.where("kind = 'often'").select(F.col("x").alias("key"), F.col("y").alias("fp"))

@@ -1,10 +1,11 @@
 import random
+import re
 import unicodedata
 
 import pytest
 
 from spanloom.llm import quality
-from spanloom.llm.quality import broken_bounds, document_kinds, text_statistics
+from spanloom.llm.quality import assess, broken_bounds, text_statistics
 
 DOCS = "doc_id long, text string, n_chars long, n_words string, k int, h int, c string"
 COMMON = ["the", "and", "of", "is", "in", "und", "Der", "그리고", None, "the", "a", "to", "was", "it"]
@@ -40,6 +41,7 @@ def brute(text):
         "n_ended": sum(x[-1] in ".!?…。" for x in lines),
         "n_common": sum(w in listed for w in ws),
         "n_digits": sum(unicodedata.category(c)[0] == "N" for c in text),
+        "n_marked": len(re.findall(r"(?m)^[ \t]*(?:[-*•–+]|[0-9]{1,4}[.)])[ \t]+(?=\S)", text)),
         "n_code": sum(c in "[](){}<>=_\"'\\" for c in text),
     }
 
@@ -77,13 +79,13 @@ def test_counts_and_bounds(spark, monkeypatch, joined):
         expected = brute(t)
         mine = {k: v for k, v in found[i].items() if k != "doc_id"}
         assert mine == (expected or dict.fromkeys(mine)), repr(t)
-    broken = {(r.doc_id, r.fault) for r in broken_bounds(got).collect()}
+    broken = {(r.doc_id, f) for r in got.select("doc_id", broken_bounds().alias("faults")).collect() for f in r.faults}
     assert broken == {(i, f) for i, t in enumerate(rows) for f in faults(brute(t))}
 
 
 def test_empty_tables_and_repeated_ids(spark):
     assert text_statistics(docs(spark, []), common(spark)).count() == 0
-    assert document_kinds(docs(spark, []), common(spark, [])).count() == 0
+    assert assess(docs(spark, []), common(spark, [])).count() == 0
     twice = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1)], "doc_id long, text string, word int")
     assert [r.n_common for r in text_statistics(twice, common(spark, [])).collect()] == [0, 0]
 
@@ -109,7 +111,9 @@ def test_kinds_of_held_out_texts(spark):
     for _ in range(60):
         rows.append(" ".join(f"{rng.getrandbits(80):020x}" for _ in range(rng.randint(6, 30))))
         truth.append("junk")
-    got = {r.doc_id: r.kind for r in document_kinds(docs(spark, [*rows, None, "??"]).repartition(2), common(spark)).collect()}
+    found = assess(docs(spark, [*rows, None, "??"]).repartition(2), common(spark)).collect()
+    got = {r.doc_id: r.kind for r in found}
+    assert {(r.doc_id, f) for r in found for f in r.faults} == {(i, f) for i, t in enumerate([*rows, None, "??"]) for f in faults(brute(t))}
     assert got[len(rows)] is None and got[len(rows) + 1] == "junk"
     right = sum(got[i] == t for i, t in enumerate(truth))
     assert right >= 0.95 * len(rows), {(t, got[i]) for i, t in enumerate(truth)}

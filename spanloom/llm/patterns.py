@@ -1,12 +1,17 @@
 """Frequent subsequences across many sequences, with gaps, by closed pattern mining.
 
-Method: bidirectional extension checks and backscan pruning over pseudo-projections. Patterns grow
-level by level. In each pass every task walks its block of sequences through the trie of live
-prefixes, where a projection is but the end positions of the leftmost embedding, and emits partial
-counts: the support of each forward extension, and the items common to all its sequences in each
-maximum and semi-maximum period of a prefix. Their sums tell which prefixes are closed (no extension
-of equal support in any place) and which can't lead to closed patterns any more. Prefixes are
-worked off in classes of first items, so that a pass carries at most ``max_live`` of them.
+Method: bidirectional extension checks and backscan pruning over pseudo-projections, partitioned by
+first item. The sequences that hold an item form its class; classes are written once, range
+partitioned by (first item, sequence), so that a class of any size spreads over many tasks and a
+pass reads the classes it works on only. Patterns grow from their first item. In each pass a task
+walks its part of a class through the trie of the class's live prefixes, where a projection is but
+the end positions of the leftmost embedding, and emits partial counts: the support of each forward
+extension, and the items common to all its sequences in each maximum and semi-maximum period of a
+prefix. Their sums tell which prefixes are closed (no extension of equal support in any place) and
+which can't lead to closed patterns any more. A pass carries at most ``max_live`` prefixes, those
+grown last come first, and closed patterns are written as they are found; so what the driver holds
+is bounded by ``max_live`` times the length and the number of frequent items, however many patterns
+there are.
 
 The patterns that aren't closed are recovered with their exact supports: each is a subsequence of
 a closed one, and its support is the greatest of theirs.
@@ -114,7 +119,7 @@ def _trie(prefixes: list[tuple[int, ...]]) -> dict:
 
 
 def _count(prefixes: list[tuple[int, ...]]):
-    """Partial counts of a block of weighted sequences for the prefixes, all of one length."""
+    """Partial counts of a part of the classes for the prefixes, all of one length."""
     schema = arrow_schema(_COUNT)
     length = len(prefixes[0])
 
@@ -134,7 +139,9 @@ def _count(prefixes: list[tuple[int, ...]]):
                 common[key] = set(here) if now is None else now.intersection(here)
 
         for batch in batches:
-            for items, w in rows_of(batch):
+            for first, items, w in rows_of(batch):
+                if first not in root:
+                    continue
                 where: dict[int, list[int]] = defaultdict(list)
                 for p, x in enumerate(items):
                     where[x].append(p)
@@ -154,10 +161,10 @@ def _count(prefixes: list[tuple[int, ...]]):
                             limits[i] = at = places[bisect_left(places, at) - 1]
                         periods(kind, pid, prefix_ends, limits, items)
 
-                stack = [(root, [])]
+                stack = [(root[first], [where[first][0]])]
                 while stack:
                     node, ends = stack.pop()
-                    after = ends[-1] if ends else -1
+                    after = ends[-1]
                     for x, below in node.items():
                         if x == -1:
                             leaf(below, ends)
@@ -173,43 +180,64 @@ def _count(prefixes: list[tuple[int, ...]]):
     return run
 
 
-def mine_closed(sequences: DataFrame, items: list[tuple[int, int]], min_support: int, max_live: int = 20_000, below: int | None = None) -> list[tuple[tuple[int, ...], int]] | None:
-    """All closed patterns with their supports; None as soon as a frequent one has ``below`` items.
+_FOUND = "items array<int>, support long"
+_WRITE = 50_000  # closed patterns that the driver holds before it writes them
+
+
+def mine_closed(sequences: DataFrame, items: list[tuple[int, int]], min_support: int, max_live: int = 20_000, below: int | None = None) -> DataFrame | None:
+    """All closed patterns: ``items`` and ``support``; None as soon as a frequent one has ``below`` items.
 
     ``sequences``: ``items`` (array of int) and ``n`` (weight), written. ``items``: the frequent
-    items with their supports. The result is the answer itself and doesn't grow with the data, as
-    the least support is a share of it.
+    items with their supports.
     """
-    live = [((x,), n) for x, n in sorted(items)]
-    closed: list[tuple[tuple[int, ...], int]] = []
-    while live:
-        if below is not None and len(live[0][0]) >= below:
+    spark = sequences.sparkSession
+    firsts = F.explode(F.array_distinct("items")).alias("first")
+    classes = store(sequences.select(firsts, "items", "n").repartitionByRange("first", "items").sortWithinPartitions("first"), "classes")
+    slices = lambda live: [live[at : at + max_live] for at in range(0, len(live), max_live)][::-1]
+    todo = slices([((x,), n) for x, n in sorted(items)])  # the last is worked off first
+    closed: list[tuple[list[int], int]] = []
+    written: list[DataFrame] = []
+
+    def write() -> None:
+        written.append(store(spark.createDataFrame(closed, _FOUND), "closed").df)
+        closed.clear()
+
+    while todo:
+        part = todo.pop()
+        if below is not None and len(part[0][0]) >= below:
+            classes.drop()
             return None
+        prefixes = [p for p, _ in part]
+        sums = (
+            classes.df.where(F.col("first").isin(sorted({p[0] for p in prefixes})))
+            .select("first", "items", "n")
+            .mapInArrow(_count(prefixes), _COUNT)
+            .groupBy("kind", "prefix", "place", "item")
+            .agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= min_support)
+            .collect()
+        )
+        extended, doomed, forward = set(), set(), defaultdict(list)
+        for kind, pid, _, item, n in sums:
+            if kind == "f":
+                forward[pid].append((item, n))
+            if n == part[pid][1]:
+                (doomed if kind == "s" else extended).add(pid)
         grown: list[tuple[tuple[int, ...], int]] = []
-        for at in range(0, len(live), max_live):
-            part = live[at : at + max_live]  # sorted, hence by first item
-            prefixes = [p for p, _ in part]
-            sums = (
-                sequences.select("items", "n")
-                .mapInArrow(_count(prefixes), _COUNT)
-                .groupBy("kind", "prefix", "place", "item")
-                .agg(F.sum("n").alias("n"))
-                .where(F.col("n") >= min_support)
-                .collect()
-            )
-            extended, doomed, forward = set(), set(), defaultdict(list)
-            for kind, pid, _, item, n in sums:
-                if kind == "f":
-                    forward[pid].append((item, n))
-                if n == part[pid][1]:
-                    (doomed if kind == "s" else extended).add(pid)
-            for pid, (p, n) in enumerate(part):
-                if pid not in extended:
-                    closed.append((p, n))
-                if pid not in doomed:
-                    grown += [((*p, x), m) for x, m in sorted(forward[pid])]
-        live = grown
-    return closed
+        for pid, (p, n) in enumerate(part):
+            if pid not in extended:
+                closed.append((list(p), n))
+            if pid not in doomed:
+                grown += [((*p, x), m) for x, m in sorted(forward[pid])]
+        todo += slices(grown)
+        if len(closed) >= _WRITE:
+            write()
+    write()
+    classes.drop()
+    found = written[0]
+    for df in written[1:]:
+        found = found.unionByName(df)
+    return found
 
 
 def _distinct_subsequences(items: list[int], max_len: int) -> Iterator[list[tuple[int, ...]]]:
@@ -256,7 +284,6 @@ def frequent_subsequences(
     ``support``; they are empty where nothing is frequent. The closed ones are of any length; without
     ``longer`` those of up to ``max_len`` names, which saves mining the rest.
     """
-    spark = events.sparkSession
     least = max(min_support, 1, -(-Fraction(min_share) * n_sequences // 1))
     named = events.select("trace_id", "span_id", "name", "start_time", "pos").where("trace_id IS NOT NULL AND name IS NOT NULL AND start_time IS NOT NULL")
     frequent = named.select("trace_id", "name").distinct().groupBy("name").count().where(F.col("count") >= int(least)).collect()
@@ -267,7 +294,7 @@ def frequent_subsequences(
     kept = named.where(F.col("name").isin(names)) if names else named.where("false")
     ordered = in_event_order(kept).select("trace_id", "span_id", "name", F.unix_micros("start_time").alias("us"), F.col("pos").cast("long"))
 
-    def mined(k: int, below: int | None) -> list[tuple[tuple[int, ...], int]] | None:
+    def mined(k: int, below: int | None) -> DataFrame | None:
         """Exact for closed patterns of fewer than ``k`` items."""
         pieces = store(ordered.mapInArrow(_sequences(codes, k), _PIECE), "pieces")
         joined = (
@@ -289,11 +316,10 @@ def frequent_subsequences(
         k *= 2
         closed = mined(k, k)
 
-    found = spark.createDataFrame([(list(p), n) for p, n in closed], "items array<int>, support long")
-    exact = found if longer else found.where(F.size("items") <= max_len)
+    exact = closed if longer else closed.where(F.size("items") <= max_len)
     table = F.array(*(F.lit(x) for x in names)) if names else F.array().cast("array<string>")
     shown = lambda df: df.select(
         F.array_join(F.transform("items", lambda i: F.element_at(table, i + 1)), ">").alias("steps"), F.size("items").alias("length"), "support"
     )
-    every = found.mapInArrow(_recover(min_len, max_len), "items array<int>, support long").groupBy("items").agg(F.max("support").alias("support"))
+    every = closed.mapInArrow(_recover(min_len, max_len), "items array<int>, support long").groupBy("items").agg(F.max("support").alias("support"))
     return shown(every), shown(exact)

@@ -238,7 +238,9 @@ _CLOSED = f"""WITH RECURSIVE {_CURRENT}, ev AS (
          row_number() OVER (PARTITION BY trace_id ORDER BY start_time, pos, span_id) AS seq
   FROM current_spans WHERE start_time IS NOT NULL AND parent_span_id <> ''
 ), least AS (SELECT greatest(6, ceil(6 * count(DISTINCT trace_id) / 100)) AS n FROM spans),
-first AS (SELECT trace_id, nm, min(seq) AS reached FROM ev WHERE nm IS NOT NULL GROUP BY ALL QUALIFY count(*) OVER (PARTITION BY nm) >= (SELECT n FROM least)),
+first AS (
+  SELECT * FROM (SELECT trace_id, nm, min(seq) AS reached FROM ev WHERE nm IS NOT NULL GROUP BY ALL) QUALIFY count(*) OVER (PARTITION BY nm) >= (SELECT n FROM least)
+),
 grown AS (
   SELECT trace_id, [nm] AS p, reached, count(*) OVER (PARTITION BY nm) AS support FROM first
   UNION ALL

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from spanloom.llm import patterns
 from spanloom.llm.patterns import frequent_subsequences, shorten
 
 SCHEMA = "trace_id string, span_id string, name string, start_time timestamp, pos int, items string, n int"
@@ -98,6 +99,21 @@ def test_closed_patterns_at_borders(spark):
         assert all(sum(contains(s, p[:i] + x + p[i:]) for s in sequences) < n for i in range(len(p) + 1) for x in "abcdexyz"), p
 
 
+def test_supports_of_closed_patterns_of_long_sequences(spark, monkeypatch):
+    """Sequences of more than forty items, every closed pattern against brute force; written in small lots."""
+    monkeypatch.setattr(patterns, "_WRITE", 5)
+    rng = random.Random(11)
+    sequences = ["".join(rng.choice("abcd") if rng.random() < 0.3 else "abcd"[i // 6 % 4] for i in range(44)) for _ in range(12)]
+    closed = frequent_subsequences(events(spark, sequences), n_sequences=12, min_support=12, min_share="0", max_live=200)[1]
+    got = {r.steps.replace(">", ""): r.support for r in closed.collect()}
+    level, frequent = {""}, set()
+    while level:
+        level = {p + x for p in level for x in "abcd" if all(contains(s, p + x) for s in sequences)}
+        frequent |= level
+    want = {p for p in frequent if not any(p[:i] + x + p[i:] in frequent for i in range(len(p) + 1) for x in "abcd")}
+    assert got == dict.fromkeys(want, 12) and max(map(len, got)) >= 12
+
+
 def test_nulls_and_empty_tables(spark):
     every, closed = frequent_subsequences(events(spark, []), n_sequences=0)
     assert every.count() == 0 and closed.count() == 0

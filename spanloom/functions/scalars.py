@@ -47,7 +47,9 @@ def span_kind(raw: Column) -> Column:
 
 
 def hex_digits(raw: Column, digits: int) -> Column:
-    return F.lpad(F.regexp_replace(F.lower(raw), "^0x", ""), digits, "0")
+    """An id filled up with zeros; null if it is longer than that."""
+    plain = F.regexp_replace(F.lower(raw), "^0x", "")
+    return F.when(F.length(plain) <= digits, F.lpad(plain, digits, "0"))
 
 
 def from_nanos(nanos: Column) -> Column:

@@ -6,6 +6,8 @@ set of any size is made in parallel, and the same seed gives the same set.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,16 +103,19 @@ def build_set(spark: SparkSession, seed: int, pairs: int) -> tuple[DataFrame, Da
 
 
 def set_digest(texts: DataFrame) -> str:
-    """A digest of a set of texts (``trace_id``, ``text``) in the order of their ids.
+    """A digest of a set of texts (``trace_id``, ``text``), whatever their order.
 
-    Texts are hashed where they are; only the digests, one a trace, are joined in order.
+    Each text's hash is cut into four numbers, which are added up over all texts; so nothing but
+    four sums leaves a task, however large the set.
     """
-    one = texts.select("trace_id", F.sha2("text", 256).alias("h"))
-    return one.groupBy().agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("trace_id", "h"))), lambda x: F.concat_ws("=", x["trace_id"], x["h"])), "\n"), 256).alias("d")).first().d
+    h = F.sha2(F.concat_ws("\0", "trace_id", F.sha2("text", 256)), 256)
+    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")).alias(f"s{i}")
+    sums = texts.select(h.alias("h")).groupBy().agg(*(part(i) for i in range(4)))
+    return sums.select(F.sha2(F.concat_ws(",", *(F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) for i in range(4))), 256).alias("d")).first().d
 
 
 def write_set(spark: SparkSession, folder: str, seed: int, pairs: int) -> dict:
-    """Writes a set below ``folder`` (``traces``, ``labels``, ``manifest``) and returns its figures.
+    """Writes a set below ``folder`` (``traces``, ``labels``, ``manifest``, ``figures``) and returns its figures.
 
     Traces are one JSON record a line; labels and manifest are JSON lines. Sets made with the same
     seed have the same digests.
@@ -123,7 +128,7 @@ def write_set(spark: SparkSession, folder: str, seed: int, pairs: int) -> dict:
     lines.select("text").write.mode("overwrite").text(f"{folder}/labels")
     manifest.write.mode("overwrite").json(f"{folder}/manifest")
     lengths = spans.groupBy("trace_id").count().groupBy().agg(F.min("count").alias("min"), F.max("count").alias("max"), F.avg("count").alias("mean")).first()
-    return {
+    figures = {
         "seed": seed,
         "pairs_per_pattern": pairs,
         "counts": {r.label_class: r["count"] for r in labels.groupBy("label_class").count().collect()},
@@ -131,3 +136,5 @@ def write_set(spark: SparkSession, folder: str, seed: int, pairs: int) -> dict:
         "length_distribution": lengths.asDict(),
         "digests": {"labels": set_digest(lines), "traces": set_digest(texts)},
     }
+    spark.createDataFrame([(json.dumps(figures, sort_keys=True),)], "text string").coalesce(1).write.mode("overwrite").text(f"{folder}/figures")
+    return figures

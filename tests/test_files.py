@@ -86,7 +86,7 @@ def test_saved_records_round_trip(spark, tmp_path):
     one = json.loads(next(r.text for r in texts.collect() if r.trace_id == "t-0001"))
     assert one["metadata"] == {"source": "x"} and one["spans"][0]["parent_span_id"] is None
     (tmp_path / "one.json").write_text(json.dumps(one, indent=1))
-    back, meta_back = trace_records(read_texts(spark, str(tmp_path / "one.json")))
+    back, meta_back, _ = trace_records(read_texts(spark, str(tmp_path / "one.json")))
     original = sorted(tuple(r) for r in spans.where("trace_id = 't-0001'").collect())
     assert sorted(tuple(r) for r in back.drop("file", "record_trace").collect()) == original
     assert json.loads(meta_back.first().metadata) == {"source": "x"}
@@ -104,9 +104,36 @@ def test_written_sets_can_be_loaded(spark, tmp_path):
     assert figures == write_set(spark, str(tmp_path), 5, 2)
     assert figures["counts"] == {"positive": 8, "negative": 8} and figures["length_distribution"] == {"min": 5, "max": 7, "mean": 6.0}
     assert read_labels(spark, f"{tmp_path}/labels").count() == 16
-    lines = spark.read.text(f"{tmp_path}/traces").selectExpr("value AS file", "value AS text")
-    back, _ = trace_records(lines)
-    assert back.drop("file", "record_trace").exceptAll(build_set(spark, 5, 2)[0]).count() == 0 and back.count() == 96
+    back, refused = load(spark, f"{tmp_path}/traces")
+    spans, labels, manifest = build_set(spark, 5, 2)
+    assert refused.count() == 0 and back.count() == 96 and back.exceptAll(spans).count() == 0
+    assert read_manifest(spark, f"{tmp_path}/manifest").exceptAll(manifest).count() == 0 and manifest.count() == 8
+    assert json.loads(spark.read.text(f"{tmp_path}/figures").first().value) == figures
+
+
+def test_bad_records_are_refused_with_the_reason(spark, tmp_path):
+    good = {
+        "trace_id": "T", "span_id": "s", "parent_span_id": None, "agent_or_node_id": "n", "span_kind": "chain", "start_time": "2026-01-01T00:00:00Z",
+        "end_time": "2026-01-01T00:00:01+00:00", "input_text": "", "output_text": "x", "token_count": "12", "model": None, "cost_rate": 1,
+    }
+    record = lambda **more: json.dumps({"trace_id": "T", "spans": [good | more], "metadata": {}})
+    cases = {
+        "a": record(), "b": '{"trace_id":"E","spans":[]}', "c": '{"trace_id":"N"}', "d": record(token_count="many"), "e": record(cost_rate="free"),
+        "f": record(token_count=2.5), "g": record(colour="red"), "h": record(span_id=None), "i": record(output_text=7), "j": '{"trace_id":"T","spans":[3]}',
+        "k": json.dumps({"trace_id": "T", "spans": [{k: v for k, v in good.items() if k != "input_text"}]}), "l": json.dumps({"trace_id": "T", "spans": [good], "x": 1}),
+        "m": record(trace_id="U"), "n": record() + "\n\n" + record(model=5) + "\n{cut", "o": record(token_count=None, cost_rate=2.0, model="m"), "p": json.dumps({"spans": [good], "trace_id": None}),
+        "q": record(token_count=7.0, parent_span_id=4),
+    }
+    for name, text in cases.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    spans, refused = load(spark, f"{tmp_path}/*.json")
+    assert {r.file.rsplit("/", 1)[1]: r.reason for r in refused.collect()} == {
+        "b.json": "no spans", "c.json": "no spans", "d.json": "wrong type: token_count", "e.json": "wrong type: cost_rate", "f.json": "wrong type: token_count",
+        "g.json": "unknown field: colour", "h.json": "wrong type: span_id", "i.json": "wrong type: output_text", "j.json": "a span that isn't an object",
+        "k.json": "missing field: input_text", "l.json": "unknown field: x", "m.json": "span of another trace", "n.json#3": "wrong type: model", "n.json#4": "not JSON",
+        "p.json": "no trace_id", "q.json": "wrong type: parent_span_id",
+    }
+    assert sorted((r.token_count or 0, r.cost_rate, r.model) for r in spans.collect()) == [(0, 2.0, "m"), (12, 1.0, None), (12, 1.0, None)]
 
 
 def test_labels_manifest_and_parameters(spark, tmp_path):

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 def hash_vector(text: Column) -> Column:
     """Sixteen numbers between 0 and 1 from a text's SHA-256. Equal texts have equal vectors; others
     are unrelated, so this only recognises repetition word for word."""
-    digest = F.sha2(text, 256)
+    return _digest_vector(F.sha2(text, 256))
+
+
+def _digest_vector(digest: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("int") / F.lit(255.0))
 
 
@@ -35,12 +38,25 @@ def cache_key(text: Column, model: str, revision: str) -> Column:
 
 
 class Embedder(Protocol):
-    """Adds a column of vectors for a column of texts."""
+    """Adds a column of vectors for a column of texts, or for what ``carried`` makes of them.
+
+    Pairs carry that instead of the text; it should be short.
+    """
 
     def vectors(self, df: DataFrame, text: str, into: str) -> DataFrame: ...
 
+    def carried(self, text: Column) -> Column: ...
+
+    def vectors_of_carried(self, df: DataFrame, carried: str, into: str) -> DataFrame: ...
+
 
 class HashEmbedder:
+    def carried(self, text: Column) -> Column:
+        return F.sha2(text, 256)
+
+    def vectors_of_carried(self, df: DataFrame, carried: str, into: str) -> DataFrame:
+        return df.withColumn(into, _digest_vector(F.col(carried)))
+
     def vectors(self, df: DataFrame, text: str, into: str) -> DataFrame:
         return df.withColumn(into, hash_vector(F.col(text)))
 
@@ -53,10 +69,16 @@ class TableEmbedder:
             raise ValueError("an embedder needs a model and a revision")
         self.table, self.model, self.revision = table, model, revision
 
+    def carried(self, text: Column) -> Column:
+        return cache_key(text, self.model, self.revision)
+
+    def vectors_of_carried(self, df: DataFrame, carried: str, into: str) -> DataFrame:
+        known = self.table.select(F.col("key").alias(carried), F.col("vector").cast("array<double>").alias(into))
+        return df.join(known, carried, "left")
+
     def vectors(self, df: DataFrame, text: str, into: str) -> DataFrame:
-        known = self.table.select(F.col("key").alias("__key"), F.col("vector").cast("array<double>").alias(into))
-        keyed = df.withColumn("__key", cache_key(F.col(text), self.model, self.revision))
-        return keyed.join(known, "__key", "left").drop("__key")
+        keyed = df.withColumn("__key", self.carried(F.col(text)))
+        return self.vectors_of_carried(keyed, "__key", into).drop("__key")
 
 
 class CachedEmbedder:
@@ -77,6 +99,12 @@ class CachedEmbedder:
             return spark.read.schema("key string, vector array<double>").parquet(self.path)
         return spark.createDataFrame([], "key string, vector array<double>")
 
+    def carried(self, text: Column) -> Column:
+        return text  # a model needs the whole of it
+
+    def vectors_of_carried(self, df: DataFrame, carried: str, into: str) -> DataFrame:
+        return self.vectors(df, carried, into)
+
     def vectors(self, df: DataFrame, text: str, into: str) -> DataFrame:
         load = self.load
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.vectors import Embedder, HashEmbedder, cosine
+from spanloom.operators.events import numbered
 from spanloom.operators.structural import candidate_pairs
 from spanloom.schema import PHI, N
 
 
 def scored_pairs(pairs: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """Adds ``cosine`` of the two outputs. Structure comes first, so only candidates are embedded."""
+    """Adds ``cosine`` of the two outputs. Structure comes first, so only candidates are embedded.
+
+    The embedder must be the one that the pairs were found for.
+    """
     embedder = embedder or HashEmbedder()
-    texts = pairs.withColumns({"__a": F.coalesce("o.output_text", F.lit("")), "__b": F.coalesce("c.output_text", F.lit(""))})
-    both = embedder.vectors(embedder.vectors(texts, "__a", "__va"), "__b", "__vb")
+    texts = pairs.withColumns({"__a": F.col("o.out"), "__b": F.col("c.out")})
+    both = embedder.vectors_of_carried(embedder.vectors_of_carried(texts, "__a", "__va"), "__b", "__vb")
     return both.withColumn("cosine", cosine(F.col("__va"), F.col("__vb"))).drop("__a", "__b", "__va", "__vb")
 
 
@@ -37,7 +41,7 @@ def waste_details(scored: DataFrame, phi: float = PHI) -> DataFrame:
         F.col("b.cosine").alias("cosine"),
         F.col("b.c.token_count").alias("waste_tokens"),
         (F.col("b.c.token_count") * F.col("b.c.cost_rate")).alias("waste_cost"),
-        F.col("b.c.output_text").alias("output_text"),
+        F.col("b.c.snippet").alias("snippet"),
         F.col("b.c.cost_rate").alias("cost_rate"),
         "ord",
     )
@@ -70,13 +74,14 @@ def verdicts(spans: DataFrame, details: DataFrame) -> DataFrame:
 def waste_spans(details: DataFrame) -> DataFrame:
     """(``trace_id``, ``candidate_id``, ``seq``): the wasted spans of a trace in report order.
 
-    The window holds the wasted spans of one trace only.
+    A trace with any number of wasted spans is numbered in pieces.
     """
-    order = Window.partitionBy("trace_id").orderBy("ord")
-    return details.select("trace_id", "candidate_id", F.row_number().over(order).alias("seq"))
+    rank, x, y = F.col("ord.r"), F.col("ord.x"), F.col("ord.y")
+    rows = details.select("trace_id", F.struct(rank, x, y).alias("start_time"), F.lit(0).alias("pos"), F.col("candidate_id").alias("span_id"))
+    return numbered(rows).select("trace_id", F.col("span_id").alias("candidate_id"), "seq")
 
 
 def detect(spans: DataFrame, embedder: Embedder | None = None, n: int = N, phi: float = PHI) -> tuple[DataFrame, DataFrame]:
     """Verdicts and details of all traces."""
-    details = waste_details(scored_pairs(candidate_pairs(spans, n), embedder), phi)
+    details = waste_details(scored_pairs(candidate_pairs(spans, n, embedder), embedder), phi)
     return verdicts(spans, details), details

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.scalars import is_blank
 from spanloom.operators.hierarchy import resolve_hierarchy
 from spanloom.schema import KINDS
+from spanloom.storage import store
 
 
 def row_errors(spans: DataFrame) -> DataFrame:
@@ -32,6 +33,7 @@ def trace_errors(spans: DataFrame) -> DataFrame:
 
     Parents are taken literally, as the record format does.
     """
+    spans = store(spans.select("trace_id", "span_id", "parent_span_id", "start_time"), "parents").df
     sizes = spans.groupBy("trace_id").agg(F.count("*").alias("rows"), F.count_if(F.col("parent_span_id").isNull()).alias("roots"))
     repeated = spans.groupBy("trace_id", "span_id").count().where("count > 1").groupBy("trace_id").agg(F.count("*").cast("long").alias("n"))
     ids = spans.select("trace_id", F.col("span_id").alias("parent_span_id")).distinct()

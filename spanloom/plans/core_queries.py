@@ -48,8 +48,12 @@ def spans(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return current_spans(table(spark, d, "spans"), *(columns or _COLUMNS))
 
 
+def narrow(spark: SparkSession, d: str) -> DataFrame:
+    return st.current_narrow(table(spark, d, "spans"))
+
+
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return st.candidate_pairs(spans(spark, d))
+    return st.candidate_pairs(narrow(spark, d))
 
 
 def details(spark: SparkSession, d: str, phi: float = PHI) -> DataFrame:
@@ -165,19 +169,19 @@ def ordered_sequence(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_U} SELECT trace_id, origin_id, candidate_id, rule FROM ({_repeat(2)})")
 def repeat_pairs_n2(spark: SparkSession, d: str) -> DataFrame:
     """Later spans of a node with its first one."""
-    return st.shown(st.repeat_pairs(spans(spark, d), 2), "rule")
+    return st.shown(st.repeat_pairs(narrow(spark, d), 2), "rule")
 
 
 @query(f"WITH {_U} SELECT trace_id, origin_id, candidate_id, rule FROM ({_repeat(3)})")
 def repeat_pairs_n3(spark: SparkSession, d: str) -> DataFrame:
     """The same for nodes with at least three spans."""
-    return st.shown(st.repeat_pairs(spans(spark, d), 3), "rule")
+    return st.shown(st.repeat_pairs(narrow(spark, d), 3), "rule")
 
 
 @query(f"WITH {_U} SELECT trace_id, origin_id, candidate_id FROM ({_PING})")
 def pingpong_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Alternations of two nodes, overlapping windows included."""
-    return st.shown(st.pingpong_pairs(spans(spark, d)))
+    return st.shown(st.pingpong_pairs(narrow(spark, d)))
 
 
 @query(f"WITH {_PAIRS} SELECT trace_id, origin_id, candidate_id, rule FROM pairs")
@@ -208,7 +212,7 @@ def waste_spans(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_VERDICTS} SELECT trace_id, wasteful, waste_spans, waste_tokens, round(waste_cost, 6) AS waste_cost FROM verdicts")
 def trace_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Wasteful or not, with totals, for every trace."""
-    return _round(det.verdicts(spans(spark, d), details(spark, d)), "waste_cost")
+    return _round(det.verdicts(table(spark, d, "spans"), details(spark, d)), "waste_cost")
 
 
 @query(f"""WITH {_DETAILS} SELECT trace_id, candidate_id, origin_id, origin_node, repeat_node, rule, round(cosine, 6) AS cosine,
@@ -350,7 +354,7 @@ _SHARES = """round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END,
 SELECT *, CASE WHEN f1 >= 0.8 AND fpr <= 0.1 THEN 'GO' WHEN f1 < 0.6 OR fpr > 0.25 THEN 'KILL' ELSE 'GREY' END AS verdict FROM r""")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts against labels."""
-    found = det.verdicts(spans(spark, d), details(spark, d))
+    found = det.verdicts(table(spark, d, "spans"), details(spark, d))
     return _round(m.confusion(found, labels(spark, d)), "precision", "recall", "f1", "fpr")
 
 
@@ -358,7 +362,7 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
 SELECT *, {_SHARES.format(recall="tpr")} FROM c""")
 def pattern_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The same by pattern."""
-    found = det.verdicts(spans(spark, d), details(spark, d))
+    found = det.verdicts(table(spark, d, "spans"), details(spark, d))
     return _round(m.confusion_by_pattern(found, labels(spark, d)), "precision", "tpr", "f1", "fpr")
 
 
@@ -393,7 +397,7 @@ def choose_n(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_VERDICTS}, {_LABELS} SELECT round(coalesce(avg(wasteful::INT), 0), 6) AS trace_fpr FROM labels JOIN verdicts USING (trace_id) WHERE label_class = 'negative'")
 def trace_fpr(spark: SparkSession, d: str) -> DataFrame:
     """Share of negative traces found wasteful."""
-    return _round(m.trace_fpr(det.verdicts(spans(spark, d), details(spark, d)), labels(spark, d)), "trace_fpr")
+    return _round(m.trace_fpr(det.verdicts(table(spark, d, "spans"), details(spark, d)), labels(spark, d)), "trace_fpr")
 
 
 @query(f"WITH {_SPLIT} SELECT trace_id, origin_id, candidate_id, rule, round(cosine, 6) AS cosine FROM split WHERE NOT dup ORDER BY split.cosine DESC, trace_id, origin_id, candidate_id LIMIT 8")
@@ -427,7 +431,8 @@ SELECT trace_id, count(*) AS pairs, round(min(cosine), 6) AS min_cosine, round(q
 def nonwaste_pair_stats(spark: SparkSession, d: str) -> DataFrame:
     """How similar the outputs of a trace are that aren't waste."""
     waste = details(spark, d).select("trace_id", F.col("candidate_id").alias("span_id"))
-    kept = st.usable(spans(spark, d)).where("output_text IS NOT NULL").join(waste, ["trace_id", "span_id"], "left_anti")
+    usable = "trace_id IS NOT NULL AND agent_or_node_id IS NOT NULL AND start_time IS NOT NULL AND output_text IS NOT NULL"
+    kept = spans(spark, d, "agent_or_node_id", "start_time", "output_text").where(usable).join(waste, ["trace_id", "span_id"], "left_anti")
     found = m.pair_statistics(kept.withColumn("v", hash_vector(F.col("output_text"))), PHI)
     return _round(found, "min_cosine", "median_cosine", "max_cosine")
 
@@ -519,14 +524,14 @@ def refused_dumps(spark: SparkSession, d: str) -> DataFrame:
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     """A JSON report on each trace."""
     found = details(spark, d)
-    return json_reports(det.verdicts(spans(spark, d), found), found, phi=PHI, now="2026-01-01T00:00:00Z")
+    return json_reports(det.verdicts(table(spark, d, "spans"), found), found, phi=PHI, now="2026-01-01T00:00:00Z")
 
 
 @query()
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
     """A Markdown report on each trace."""
     found = details(spark, d)
-    return markdown_reports(det.verdicts(spans(spark, d), found), found, phi=PHI, now="2026-01-01T00:00:00Z")
+    return markdown_reports(det.verdicts(table(spark, d, "spans"), found), found, phi=PHI, now="2026-01-01T00:00:00Z")
 
 
 @query()

@@ -21,7 +21,7 @@ def calibrate(spans: DataFrame, labels: DataFrame, embedder: Embedder | None = N
     labels hold no duplicate or no other pair.
     """
     known = m.clean_labels(labels)
-    pairs = m.split_pairs(scored_pairs(candidate_pairs(spans), embedder), known)
+    pairs = m.split_pairs(scored_pairs(candidate_pairs(spans, embedder=embedder), embedder), known)
     row = m.separation(pairs).first()
     if row.phi is None:
         raise ValueError("the labelled traces lack duplicate pairs or other pairs")

@@ -7,7 +7,6 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.scalars import snippet
 from spanloom.schema import MODEL, PHI, SPAN_COLUMNS, N
 
 NOTE = "Thresholds come from synthetic traces; pairs whose similarity is near the threshold deserve a look by a person."
@@ -51,7 +50,7 @@ def json_reports(verdicts: DataFrame, details: DataFrame, *, snippets: bool = Tr
         F.lit(',"cosine":'), _number(F.col("cosine"), 6), F.lit(',"tokens_wasted":'), _number(F.col("waste_tokens")), F.lit(',"cost_wasted":'), _number(F.col("waste_cost"), 8),
     ]
     if snippets:
-        entry += [F.lit(',"snippet":'), _quoted(snippet(F.coalesce("output_text", F.lit(""))))]
+        entry += [F.lit(',"snippet":'), _quoted(F.col("snippet"))]
     rows = _by_trace(verdicts, details, F.concat(*entry, F.lit("}")))
     stamp = now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     report = F.concat(
@@ -74,7 +73,7 @@ def markdown_reports(verdicts: DataFrame, details: DataFrame, *, snippets: bool
     cost = F.when(F.col("waste_cost").isNotNull(), F.format_string("%.6f", "waste_cost"))
     cells = F.concat_ws(" | ", "origin_node", "repeat_node", F.format_string("%.4f", "cosine"), unknown(F.col("waste_tokens").cast("string")), unknown(cost))
     row = F.concat(F.lit("| "), cells, F.lit(" |"))
-    shown = F.concat(F.lit("**"), "repeat_node", F.lit("**\n> "), snippet(F.coalesce("output_text", F.lit(""))))
+    shown = F.concat(F.lit("**"), "repeat_node", F.lit("**\n> "), F.col("snippet"))
     rows = _by_trace(verdicts, details, F.concat_ws("\x00", row, shown))
     part = lambda i: F.transform("lines", lambda x: F.element_at(F.split(x, "\x00"), i))
     stamp = now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")

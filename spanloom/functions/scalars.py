@@ -12,12 +12,13 @@ from pyspark.sql.types import StringType
 
 from spanloom.schema import GO_F1, GO_FPR, KILL_F1, KILL_FPR, RAW_KINDS, SNIPPET
 
-#: White space as text stripping in the source format understands it.
-_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: White space as text stripping in the source format understands it (fixed values).
+_BLANK_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+_BLANK = "".join(chr(c) for first, last in _BLANK_RANGES for c in range(first, last + 1))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def is_blank(text: Column) -> Column:
@@ -32,7 +33,8 @@ def fold(text: Column) -> Column:
     directly would be simplified to lower case alone.)
     """
     upper = F.upper(F.translate(text, "ı", "\ue000"))
-    return F.translate(F.lower(F.translate(upper, "Σ", "σ")), "\ue000", "ı")
+    every = F.translate(F.lower(F.translate(upper, "Σ", "σ")), "\ue000", "ı")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(every)
 
 
 def normal_input(text: Column) -> Column:

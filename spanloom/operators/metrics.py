@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.scalars import verdict
@@ -152,8 +152,9 @@ def choose_n(spans: DataFrame, labels: DataFrame) -> DataFrame:
     rows = spans.where("agent_or_node_id IS NOT NULL AND start_time IS NOT NULL").select("trace_id", "agent_or_node_id", *EVENT_ORDER)
     marked = rows.join(ids, ["trace_id", "span_id"], "left")
     wanted = marked.where("waste").select("trace_id", "agent_or_node_id").distinct()
-    order = Window.partitionBy("trace_id", "agent_or_node_id").orderBy(*EVENT_ORDER)
-    at = marked.join(wanted, ["trace_id", "agent_or_node_id"], "left_semi").withColumn("n", F.row_number().over(order)).where("waste")
+    mine = marked.join(wanted, ["trace_id", "agent_or_node_id"], "left_semi").withColumn("trace", F.col("trace_id"))
+    placed = numbered(mine.withColumn("trace_id", F.concat_ws("\0", "trace_id", "agent_or_node_id")))
+    at = placed.where("waste").withColumn("trace_id", F.col("trace")).withColumn("n", F.col("seq").cast("int"))
     met = at.groupBy("n").agg(F.count("*").alias("times"), F.min(F.struct("trace_id", *EVENT_ORDER)).alias("first"))
     return met.orderBy(F.col("times").desc(), "first").limit(1).select("n")
 
@@ -190,6 +191,17 @@ def intruders(pairs: DataFrame, phi: float) -> DataFrame:
     return hit.groupBy("rule", F.col("o.agent_or_node_id").alias("node")).agg(F.count("*").alias("n"))
 
 
+def intruder_sources(pairs: DataFrame, manifest: DataFrame, phi: float) -> DataFrame:
+    """The same counted by ``pattern`` and ``source``: that of the label of positive traces, and of
+    clean ones that of the pair they are the twin in; ``?`` where the manifest doesn't know it."""
+    hit = pairs.where(~F.col("dup") & (F.col("cosine") >= phi))
+    twin = manifest.groupBy(F.col("negative_trace_id").alias("trace_id")).agg(F.min("pattern").alias("__twin"))
+    positive = F.col("label_class") == "positive"
+    pattern = F.coalesce(F.when(positive, F.col("waste_pattern")).otherwise(F.col("__twin")), F.lit("?"))
+    source = F.when(positive, "positive(non-waste)").otherwise("clean")
+    return hit.join(twin, "trace_id", "left").groupBy(pattern.alias("pattern"), source.alias("source")).agg(F.count("*").alias("n"))
+
+
 def pair_statistics(scored_spans: DataFrame, phi: float, block: int = 2_000) -> DataFrame:
     """Similarity of every two spans of a trace: count, least, median, greatest, count from ``phi``.
 

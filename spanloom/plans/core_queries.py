@@ -20,7 +20,8 @@ from spanloom.operators import structural as st
 from spanloom.operators import validate as val
 from spanloom.operators.events import current_spans, numbered
 from spanloom.operators.hierarchy import topology, tree_edges
-from spanloom.sinks import json_reports, markdown_reports, trace_texts
+from spanloom.schema import MODEL
+from spanloom.sinks import NOTE, json_reports, markdown_reports, trace_texts
 from spanloom.sources.otel import otel_spans
 from spanloom.sources.tables import table
 from spanloom.streaming.live import node_activity as activity
@@ -278,7 +279,11 @@ def preprocess_counts(spark: SparkSession, d: str) -> DataFrame:
     return pre.preprocess(spans(spark, d))[1]
 
 
-@query()
+@query(f"""WITH {_CS}, leaves AS (
+  SELECT trace_id, span_id, arg_min(leaf, (-length(leaf), n)) AS text FROM (
+    SELECT trace_id, span_id, json_extract_string(t.value, '$') AS leaf, t.rowid AS n FROM cs, json_tree(output_text) t WHERE json_valid(output_text) AND t.type = 'VARCHAR'
+  ) WHERE {_strip("leaf")} <> '' GROUP BY ALL
+) SELECT trace_id, span_id, coalesce(l.text, output_text) AS text FROM cs LEFT JOIN leaves l USING (trace_id, span_id)""")
 def json_text_extract(spark: SparkSession, d: str) -> DataFrame:
     """The longest text inside each output."""
     df = spans(spark, d, "output_text")
@@ -412,6 +417,30 @@ def intruders(spark: SparkSession, d: str) -> DataFrame:
     return m.intruders(labelled_pairs(spark, d), PHI)
 
 
+@query(f"""WITH {_SPLIT} SELECT CASE WHEN l.label_class = 'positive' THEN coalesce(l.waste_pattern, '?') ELSE '?' END AS pattern,
+  CASE WHEN l.label_class = 'positive' THEN 'positive(non-waste)' ELSE 'clean' END AS source, count(*) AS n
+FROM split s JOIN labels l USING (trace_id) WHERE NOT dup AND cosine >= {PHI} GROUP BY ALL""")
+def intruder_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the pattern and class of their traces; these tables have no manifest, so clean ones have no pattern."""
+    none = spark.createDataFrame([], "negative_trace_id string, pattern string")
+    return m.intruder_sources(labelled_pairs(spark, d), none, PHI)
+
+
+@query(f"""WITH s AS (
+  SELECT DISTINCT dump_id, unnest(CAST(payload AS JSON[])) AS j FROM dump_sdk_json WHERE json_valid(payload) AND json_type(payload) = 'ARRAY'
+), r AS (
+  SELECT dump_id, j ->> '$.context.trace_id' AS t, lpad(regexp_replace(lower(j ->> '$.context.span_id'), '^0x', ''), 16, '0') AS span_id, nullif(j ->> '$.parent_id', '') AS parent,
+         {_strip("""coalesce(j ->> '$.attributes."output.value"', '')""")} AS o FROM s
+), n AS (SELECT dump_id, count(DISTINCT t) AS traces, count(*) FILTER (parent IS NULL) AS roots FROM r GROUP BY dump_id)
+SELECT dump_id, 'several traces' AS error, '' AS span_id FROM n WHERE traces > 1
+UNION ALL SELECT dump_id, CASE roots WHEN 0 THEN 'no root' ELSE 'several roots' END, '' FROM n WHERE roots <> 1
+UNION ALL SELECT DISTINCT dump_id, 'blank output', span_id FROM r WHERE o = ''""")
+def dump_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that whole telemetry documents break."""
+    dumps = table(spark, d, "dump_sdk_json").select(F.col("dump_id").cast("string").alias("file"), F.col("payload").alias("text")).distinct()
+    return val.document_errors(otel_spans(dumps)[0].distinct()).select(F.col("file").cast("bigint").alias("dump_id"), "error", F.coalesce("span_id", F.lit("")).alias("span_id"))
+
+
 @query(f"""WITH {_CS} SELECT coalesce(cs.model, '_unknown') AS model, count(*) AS spans, coalesce(sum(token_count), 0)::BIGINT AS tokens,
   round(coalesce(sum(token_count * cost_per_token), 0), 6) AS cost FROM cs LEFT JOIN (SELECT DISTINCT ON (model) * FROM model_costs ORDER BY model, cost_per_token) k ON cs.model = k.model GROUP BY 1""")
 def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -445,7 +474,9 @@ def nonwaste_pair_stats(spark: SparkSession, d: str) -> DataFrame:
   coalesce(nullif(j ->> '$.name', ''), 'anonymous') AS agent_or_node_id,
   CASE j ->> '$.attributes."openinference.span.kind"' WHEN 'LLM' THEN 'llm' WHEN 'TOOL' THEN 'tool' WHEN 'AGENT' THEN 'agent' ELSE 'chain' END AS span_kind,
   epoch_us((j ->> '$.start_time')::TIMESTAMPTZ) AS start_us, epoch_us((j ->> '$.end_time')::TIMESTAMPTZ) AS end_us,
-  coalesce(TRY_CAST(j ->> '$.attributes."llm.token_count.total"' AS BIGINT), -1) AS token_count FROM s""")
+  coalesce(TRY_CAST(j ->> '$.attributes."llm.token_count.total"' AS BIGINT), -1) AS token_count,
+  coalesce(nullif(j ->> '$.attributes."llm.model_name"', ''), j ->> '$.attributes."llm.provider"', '') AS model,
+  length(coalesce(j ->> '$.attributes."input.value"', '')) AS input_chars, length(coalesce(j ->> '$.attributes."output.value"', '')) AS output_chars FROM s""")
 def ingested_spans(spark: SparkSession, d: str) -> DataFrame:
     """Spans of the raw SDK dumps as span records."""
     dumps = table(spark, d, "dump_sdk_json").select(F.col("dump_id").cast("string").alias("file"), F.col("payload").alias("text"))
@@ -453,6 +484,7 @@ def ingested_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.select(
         F.col("file").cast("bigint").alias("dump_id"), "trace_id", "span_id", "parent_span_id", "agent_or_node_id", "span_kind",
         F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), F.coalesce("token_count", F.lit(-1)).alias("token_count"),
+        F.coalesce("model", F.lit("")).alias("model"), F.length("input_text").alias("input_chars"), F.length("output_text").alias("output_chars"),
     ).distinct()
 
 
@@ -520,14 +552,42 @@ def refused_dumps(spark: SparkSession, d: str) -> DataFrame:
     return otel_spans(both.select(F.col("dump_id").cast("string").alias("file"), F.col("payload").alias("text")))[1]
 
 
-@query()
+_LINES = f"""{_VERDICTS}, lines AS (
+  SELECT d.*, left(coalesce(o.output_text, ''), 80) AS snippet, row_number() OVER (PARTITION BY d.trace_id ORDER BY first) AS k
+  FROM details d JOIN cs o ON o.trace_id = d.trace_id AND o.span_id = d.candidate_id
+)"""
+
+
+def _places(x: str, n: int) -> str:
+    return f"coalesce(CAST(CAST({x} AS DECIMAL(38, {n})) AS VARCHAR), '\"unknown\"')"
+
+
+@query(f"""WITH {_LINES}, shown AS (
+  SELECT trace_id, string_agg('{{"origin_node":' || to_json(origin_node)::VARCHAR || ',"repeat_node":' || to_json(repeat_node)::VARCHAR || ',"cosine":' || {_places("cosine", 6)}
+    || ',"tokens_wasted":' || coalesce(waste_tokens::VARCHAR, '"unknown"') || ',"cost_wasted":' || {_places("waste_cost", 8)} || ',"snippet":' || to_json(snippet)::VARCHAR || '}}', ',' ORDER BY k) AS lines
+  FROM lines GROUP BY trace_id
+) SELECT trace_id, '{{"trace_id":' || to_json(trace_id)::VARCHAR || ',"analyzed":"2026-01-01T00:00:00Z","detector_params":{{"phi":0.8,"n":2,"model":"{MODEL}"}},"wasteful":' || wasteful::VARCHAR
+  || ',"waste_span_count":' || waste_spans::VARCHAR || ',"total_tokens_wasted":' || coalesce(nullif(waste_tokens, 0)::VARCHAR, '"unknown"')
+  || ',"total_cost_wasted":' || {_places("CASE WHEN waste_cost > 0 THEN waste_cost END", 8)} || ',"waste_details":[' || coalesce(lines, '') || '],"note":"{NOTE}"}}' AS report
+FROM verdicts LEFT JOIN shown USING (trace_id)""")
 def report_json(spark: SparkSession, d: str) -> DataFrame:
     """A JSON report on each trace."""
     found = details(spark, d)
     return json_reports(det.verdicts(table(spark, d, "spans"), found), found, phi=PHI, now="2026-01-01T00:00:00Z")
 
 
-@query()
+@query(f"""WITH {_LINES}, shown AS (
+  SELECT trace_id, string_agg('| ' || origin_node || ' | ' || repeat_node || ' | ' || CAST(CAST(cosine AS DECIMAL(38, 4)) AS VARCHAR) || ' | ' || coalesce(waste_tokens::VARCHAR, 'unknown') || ' | '
+      || CASE WHEN waste_cost IS NULL THEN 'unknown' ELSE CAST(CAST(waste_cost AS DECIMAL(38, 6)) AS VARCHAR) END || ' |', chr(10) ORDER BY k) AS lines,
+    string_agg('**' || k || '. ' || repeat_node || '** (repeat)' || chr(10) || '> ' || snippet || chr(10) || chr(10), '' ORDER BY k) AS snippets
+  FROM lines GROUP BY trace_id
+) SELECT trace_id, replace('# Waste report~~- **trace_id**: `' || trace_id || '`~- **analyzed**: 2026-01-01T00:00:00Z~- **detector params**: φ=0.8, N=2, model={MODEL}~~', '~', chr(10))
+  || CASE WHEN wasteful THEN replace('## Result: WASTE DETECTED~~- **wasted spans**: ' || waste_spans || '~- **estimated wasted tokens**: ' || coalesce(nullif(waste_tokens, 0)::VARCHAR, 'unknown')
+       || '~- **estimated wasted cost**: ' || CASE WHEN waste_cost > 0 THEN CAST(CAST(waste_cost AS DECIMAL(38, 6)) AS VARCHAR) ELSE 'unknown' END
+       || '~~## Wasted Span Details~~| origin_node | repeat_node | cosine | tokens (wasted) | cost (wasted) |~|-------------|-------------|--------|-----------------|---------------|~', '~', chr(10))
+       || lines || chr(10) || chr(10) || '## Snippets' || chr(10) || chr(10) || snippets
+     ELSE '## Result: no waste detected' || chr(10) || chr(10) END || '---' || chr(10) || '_{NOTE}_' AS report
+FROM verdicts LEFT JOIN shown USING (trace_id)""")
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
     """A Markdown report on each trace."""
     found = details(spark, d)

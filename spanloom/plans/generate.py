@@ -49,13 +49,18 @@ PATTERNS: dict[str, list[tuple[str, str, int, str, str, str, bool]]] = {
         ("finalize", "chain", 9, "", "report written", "report written", False),
     ],
 }
+#: What a clean lookup may return: records of the same shape for another key, and facts of other subjects.
+SAME_SHAPE = ["name=Ode, plan=team", "name=Ira, plan=basic", "name=Lin, plan=trial", "name=Kim, plan=team", "name=Bo, plan=closed"]
+SUBJECTS = ["harbour", "orchard", "railway", "library", "glacier", "bakery", "theatre"]
+FACTS = ["opens at nine", "was built in 1904", "has four gates", "closes for repairs in May", "lies north of the river", "employs sixty people", "lost its roof in a storm", "sells tickets by post"]
 TOKENS, RATE, FAKE_MODEL = 10, 1e-6, "fake-model"
 
 
 def build_set(spark: SparkSession, seed: int, pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans, labels and manifest rows of ``pairs`` twins for each pattern.
 
-    A repeated lookup has the same key; its twin asks for another one, chosen by the seed.
+    A repeated lookup has the same key; its twin asks for another one and gets, as the seed decides,
+    a record of the same shape or a fact of another subject.
     """
     step = "struct<node:string,kind:string,second:int,input:string,pos_out:string,neg_out:string,waste:boolean>"
     literal = lambda rows: F.array(*(F.struct(*(F.lit(v) for v in r)) for r in rows)).cast(f"array<{step}>")
@@ -73,6 +78,10 @@ def build_set(spark: SparkSession, seed: int, pairs: int) -> tuple[DataFrame, Da
     span_id = lambda c: F.concat(F.lit("s-"), F.lpad((c + 1).cast("string"), 4, "0"))
     key = F.replace(F.col("s.input"), F.lit("{a}"), (F.col("draw") + 10_000).cast("string"))
     key = F.replace(key, F.lit("{b}"), (F.col("draw") + F.when(F.col("positive"), 10_000).otherwise(10_001)).cast("string"))
+    draw, pick = F.col("draw"), lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    fact = F.concat(F.lit("the "), pick(SUBJECTS, F.floor(draw / 2)), F.lit(" "), pick(FACTS, F.floor(draw / 14)))
+    other_record = F.when(draw % 2 == 0, pick(SAME_SHAPE, F.floor(draw / 2))).otherwise(fact)
+    clean = F.when(F.col("s.input") == "account={b}", other_record).otherwise(F.col("s.neg_out"))
     start = F.timestamp_seconds(F.lit(1_767_225_600) + F.col("s.second"))
     spans = rows.select(
         "trace_id",
@@ -83,7 +92,7 @@ def build_set(spark: SparkSession, seed: int, pairs: int) -> tuple[DataFrame, Da
         start.alias("start_time"),
         (start + F.expr("INTERVAL 1 SECOND")).alias("end_time"),
         key.alias("input_text"),
-        F.when(F.col("positive"), F.col("s.pos_out")).otherwise(F.col("s.neg_out")).alias("output_text"),
+        F.when(F.col("positive"), F.col("s.pos_out")).otherwise(clean).alias("output_text"),
         F.lit(TOKENS).cast("bigint").alias("token_count"),
         F.lit(FAKE_MODEL).alias("model"),
         F.lit(RATE).alias("cost_rate"),

@@ -12,6 +12,14 @@ from spanloom.schema import MODEL, PHI, SPAN_COLUMNS, N
 NOTE = "Thresholds come from synthetic traces; pairs whose similarity is near the threshold deserve a look by a person."
 
 
+# Headings and table head of the Markdown report, which other programs read.
+_WASTE, _NO_WASTE = "## Result: WASTE DETECTED", "## Result: no waste detected"
+_TABLE = (
+    "## Wasted Span Details\n\n| origin_node | repeat_node | cosine | tokens (wasted) | cost (wasted) |\n"
+    "|-------------|-------------|--------|-----------------|---------------|"
+)
+
+
 def trace_texts(spans: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
     """``trace_id``, ``text``: one saved record per trace, its spans in file order.
 
@@ -35,7 +43,8 @@ def _quoted(text: Column) -> Column:
 
 
 def _number(value: Column, places: int | None = None) -> Column:
-    shown = (F.round(value, places) if places is not None else value).cast("string")
+    """A number as JSON; of small ones the places, as exponents are spelt in many ways."""
+    shown = (value.cast(f"decimal(38,{places})") if places is not None else value).cast("string")
     return F.when(value.isNull(), F.lit('"unknown"')).otherwise(shown)
 
 
@@ -70,23 +79,24 @@ def _by_trace(verdicts: DataFrame, details: DataFrame, line: Column) -> DataFram
 def markdown_reports(verdicts: DataFrame, details: DataFrame, *, snippets: bool = True, phi: float = PHI, n: int = N, model: str = MODEL, now: str | None = None) -> DataFrame:
     """``trace_id``, ``report`` (Markdown) for every trace."""
     unknown = lambda c: F.coalesce(c, F.lit("unknown"))
-    cost = F.when(F.col("waste_cost").isNotNull(), F.format_string("%.6f", "waste_cost"))
-    cells = F.concat_ws(" | ", "origin_node", "repeat_node", F.format_string("%.4f", "cosine"), unknown(F.col("waste_tokens").cast("string")), unknown(cost))
+    cost = F.when(F.col("waste_cost").isNotNull(), F.col("waste_cost").cast("decimal(38,6)").cast("string"))
+    cells = F.concat_ws(" | ", "origin_node", "repeat_node", F.col("cosine").cast("decimal(38,4)").cast("string"), unknown(F.col("waste_tokens").cast("string")), unknown(cost))
     row = F.concat(F.lit("| "), cells, F.lit(" |"))
-    shown = F.concat(F.lit("**"), "repeat_node", F.lit("**\n> "), F.col("snippet"))
+    shown = F.concat(F.lit(". "), "repeat_node", F.lit("** (repeat)\n> "), F.col("snippet"))
     rows = _by_trace(verdicts, details, F.concat_ws("\x00", row, shown))
     part = lambda i: F.transform("lines", lambda x: F.element_at(F.split(x, "\x00"), i))
+    snippets_of = F.transform(part(2), lambda x, k: F.concat(F.lit("**"), (k + 1).cast("string"), x, F.lit("\n\n")))
     stamp = now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = F.concat(F.lit("# Waste report\n\n- **trace_id**: `"), "trace_id", F.lit(f"`\n- **analyzed**: {stamp}\n- **detector params**: φ={phi}, N={n}, model={model}\n\n"))
     totals = F.concat(
-        F.lit("## Result: waste detected\n\n- **wasted spans**: "), F.col("waste_spans").cast("string"),
+        F.lit(f"{_WASTE}\n\n- **wasted spans**: "), F.col("waste_spans").cast("string"),
         F.lit("\n- **estimated wasted tokens**: "), F.coalesce(_known(F.col("waste_tokens")).cast("string"), F.lit("unknown")),
-        F.lit("\n- **estimated wasted cost**: "), F.when(F.col("waste_cost") > 0, F.format_string("%.6f", "waste_cost")).otherwise("unknown"),
-        F.lit("\n\n| origin_node | repeat_node | cosine | tokens | cost |\n|---|---|---|---|---|\n"), F.array_join(part(1), "\n"),
-        F.concat(F.lit("\n\n## Snippets\n\n"), F.array_join(part(2), "\n\n")) if snippets else F.lit(""),
+        F.lit("\n- **estimated wasted cost**: "), F.when(F.col("waste_cost") > 0, F.col("waste_cost").cast("decimal(38,6)").cast("string")).otherwise("unknown"),
+        F.lit(f"\n\n{_TABLE}\n"), F.array_join(part(1), "\n"),
+        F.concat(F.lit("\n\n## Snippets\n\n"), F.array_join(snippets_of, "")) if snippets else F.lit("\n"),
     )
-    body = F.when(F.col("wasteful"), totals).otherwise(F.lit("## Result: no waste detected"))
-    return rows.select("trace_id", F.concat(head, body, F.lit(f"\n\n---\n_{NOTE}_\n")).alias("report"))
+    body = F.when(F.col("wasteful"), totals).otherwise(F.lit(f"{_NO_WASTE}\n\n"))
+    return rows.select("trace_id", F.concat(head, body, F.lit(f"---\n_{NOTE}_")).alias("report"))
 
 
 def append_run(spark: SparkSession, ledger: str, phi: float, n: int, model: str, f1: float, fpr: float, verdict: str) -> int:

@@ -165,14 +165,14 @@ def test_reports(spark):
     bare = {r.trace_id: json.loads(r.report) for r in json_reports(verdicts, details.withColumn("waste_tokens", details.waste_tokens.cast("long") * None), snippets=False).collect()}
     assert "snippet" not in bare["t-0001"]["waste_details"][0] and bare["t-0001"]["waste_details"][0]["tokens_wasted"] == "unknown"
     marks = {r.trace_id: r.report for r in markdown_reports(verdicts, details).collect()}
-    assert "| analyze | analyze | 1.0000 | 10 | 0.000010 |" in marks["t-0001"] and "> the main causes" in marks["t-0001"]
+    assert "| analyze | analyze | 1.0000 | 10 | 0.000010 |" in marks["t-0001"] and "**2. analyze** (repeat)\n> the main causes" in marks["t-0001"]
     assert "no waste detected" in marks["t-0002"]
 
 
 def test_command_line(spark, folder, capsys, tmp_path):
     assert main(["analyze", str(folder / "a.json"), "--json", str(tmp_path / "j"), "--no-snippets"]) == 0
     out = capsys.readouterr().out
-    assert "waste detected" in out and "| writer | writer |" in out and "Snippets" not in out
+    assert "WASTE DETECTED" in out and "| writer | writer |" in out and "Snippets" not in out
     assert json.loads(spark.read.text(str(tmp_path / "j")).first().value)["waste_span_count"] == 1
     assert main(["analyze", str(folder / "missing.json")]) == 1
     assert main(["analyze", str(folder / "c.json")]) == 1

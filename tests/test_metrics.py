@@ -102,3 +102,26 @@ def test_calibration_and_evaluation_of_a_generated_set(spark, tmp_path):
     with pytest.raises(ValueError, match="budget"):
         evaluate(spans, labels, params, ledger=ledger)
     assert m.choose_n(spans, m.clean_labels(labels).where("false")).count() == 0
+
+
+def test_intruders_by_pattern_and_source(spark):
+    from spanloom.operators.detect import scored_pairs
+    from spanloom.operators.structural import candidate_pairs
+    from spanloom.plans.generate import build_set
+
+    spans, labels, manifest = build_set(spark, 2, 12)
+    pairs = m.split_pairs(scored_pairs(candidate_pairs(spans)), m.clean_labels(labels)).collect()
+    twins = {r.negative_trace_id: r.pattern for r in manifest.collect()}
+    lookups = {r.output_text for r in spans.where("input_text LIKE 'account=%'").collect()}
+    assert any(x.startswith("the ") for x in lookups) and len({x for x in lookups if x.startswith("name=")}) > 2  # both pools occur
+    assert not [p for p in pairs if twins.get(p.trace_id) == "requery_known"]  # the input gate holds all of them back
+    df = m.split_pairs(scored_pairs(candidate_pairs(spans)), m.clean_labels(labels))
+    want = {}
+    for p in pairs:
+        if not p.dup and p.cosine >= 0.5:
+            key = (p.waste_pattern or "?", "positive(non-waste)") if p.label_class == "positive" else (twins.get(p.trace_id, "?"), "clean")
+            want[key] = want.get(key, 0) + 1
+    got = {(r.pattern, r.source): r.n for r in m.intruder_sources(df, manifest, 0.5).collect()}
+    assert got == want and any(s == "clean" for _, s in got)
+    bare = m.intruder_sources(df, manifest.limit(0), 0.5).collect()
+    assert {r.pattern for r in bare if r.source == "clean"} == {"?"}

@@ -53,8 +53,9 @@ def trace_errors(spans: DataFrame) -> DataFrame:
 
 def document_errors(spans: DataFrame) -> DataFrame:
     """(``file``, ``error``, ``span_id``) of telemetry documents: several traces in one, roots other
-    than one, and each span with a blank output. Spans of documents are given with their ``file``."""
-    sums = spans.groupBy("file").agg(F.countDistinct("trace_id").alias("traces"), F.count_if(F.col("parent_span_id").isNull()).alias("roots"))
+    than one, and each span with a blank output. Spans of documents are given with their ``file``;
+    one sent twice counts once."""
+    sums = spans.groupBy("file").agg(F.countDistinct("trace_id").alias("traces"), F.countDistinct(F.when(F.col("parent_span_id").isNull(), F.coalesce("span_id", F.lit("")))).alias("roots"))
     roots = F.when(F.col("roots") == 0, F.lit("no root")).when(F.col("roots") > 1, F.lit("several roots"))
     whole = F.explode(F.array_compact(F.array(F.when(F.col("traces") > 1, F.lit("several traces")), roots)))
     blank = spans.where(is_blank(F.col("output_text"))).select("file", F.lit("blank output").alias("error"), "span_id").distinct()

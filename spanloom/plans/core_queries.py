@@ -431,7 +431,7 @@ def intruder_sources(spark: SparkSession, d: str) -> DataFrame:
 ), r AS (
   SELECT dump_id, j ->> '$.context.trace_id' AS t, lpad(regexp_replace(lower(j ->> '$.context.span_id'), '^0x', ''), 16, '0') AS span_id, nullif(j ->> '$.parent_id', '') AS parent,
          {_strip("""coalesce(j ->> '$.attributes."output.value"', '')""")} AS o FROM s
-), n AS (SELECT dump_id, count(DISTINCT t) AS traces, count(*) FILTER (parent IS NULL) AS roots FROM r GROUP BY dump_id)
+), n AS (SELECT dump_id, count(DISTINCT t) AS traces, count(DISTINCT span_id) FILTER (parent IS NULL) AS roots FROM r GROUP BY dump_id)
 SELECT dump_id, 'several traces' AS error, '' AS span_id FROM n WHERE traces > 1
 UNION ALL SELECT dump_id, CASE roots WHEN 0 THEN 'no root' ELSE 'several roots' END, '' FROM n WHERE roots <> 1
 UNION ALL SELECT DISTINCT dump_id, 'blank output', span_id FROM r WHERE o = ''""")
